@@ -5,7 +5,7 @@ UTF-8 bytes of the lower-cased text, over the whole text); a linear softmax maps
 the languages. Both are trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows (`most`), of which the driver only gets counts by bucket: at most
 BUCKETS numbers a row. A fifth of the sample is held back to calibrate a temperature and
-a rejection threshold: the largest up to 0.5 that keeps 99.9 % of those rows that are
+a rejection threshold: the largest up to 0.4 that keeps 99.9 % of those rows that are
 predicted right.
 
 Null text and text without a letter are `und` with score 0 and rejected. With no labelled
