@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, langid, lz, token_counts
+from tidewater.llm import bpe, langid, lz, mixing, pii, token_counts
 from tidewater.llm.common import table, work_dir
 
 
@@ -17,12 +17,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_frame(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range-sorted by the position at which a document is first taken; documents that are not taken have none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_words"))
+    planned = mixing.plan(docs, F.col("n_words"))
+    first = planned.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    return first.repartitionByRange("position").sortWithinPartitions("position")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begins with an empty cache, so that each run does the whole work."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), work_dir(spark, "token-counts"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))))
@@ -36,9 +48,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op6_token_counts": op6_token_counts,
+    "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
