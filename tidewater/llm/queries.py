@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, langid, lz, mixing, pii, token_counts
+from tidewater.llm import bpe, chat, langid, lz, mixing, pii, token_counts
 from tidewater.llm.common import table, work_dir
 
 
@@ -25,6 +25,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.repartitionByRange("position").sortWithinPartitions("position")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a conversation -1 whose texts look like another template's control strings."""
+    talks = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_frame(chat.format_frame(talks.unionByName(more)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begins with an empty cache, so that each run does the whole work."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,6 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op4_chat": op4_chat,
     "op6_token_counts": op6_token_counts,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
