@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, langid, lz, mixing, pii, token_counts
+from tidewater.llm import bpe, chat, langid, lz, mixing, pii, token_counts, warc
 from tidewater.llm.common import table, work_dir
 
 
@@ -39,6 +39,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), work_dir(spark, "token-counts"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,9 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_chat": op4_chat,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op7_warc": warc.SQL}
