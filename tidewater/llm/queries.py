@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, langid, lz, mixing, pii, token_counts, warc
+from tidewater.llm import ann, bpe, chat, langid, lz, mixing, pii, token_counts, warc
 from tidewater.llm.common import table, work_dir
 
 
@@ -33,6 +33,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_frame(chat.format_frame(talks.unionByName(more)))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begins with an empty cache, so that each run does the whole work."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
     "op4_chat": op4_chat,
+    "op5_ann": op5_ann,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
