@@ -198,3 +198,20 @@ def redact(text: str, spans: str) -> str:
             out += [text[at:a], f"<{kind.removeprefix('ctx_').upper()}>"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def redact_frame(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df with all spans in their texts replaced by their kinds. Null text stays null."""
+    found = find(df, text, tuple(df.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = df.columns.index(text)
+        for batch in slices(batches):
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(k)
+            if any(spans):
+                texts = pa.array([redact(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)], pa.string())
+            columns = [texts if i == k else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return found.select(*df.columns, "spans").mapInArrow(run, df.schema)

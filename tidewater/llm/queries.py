@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, chat, langid, lz, mixing, pii, token_counts, warc
+from tidewater.llm import ann, bpe, chat, langid, lz, mixing, ngram_join, pii, token_counts, warc
 from tidewater.llm.common import table, work_dir
 
 
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.repartitionByRange("position").sortWithinPartitions("position")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a conversation -1 whose texts look like another template's control strings."""
     talks = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
@@ -68,6 +72,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_chat": op4_chat,
     "op5_ann": op5_ann,
     "op6_token_counts": op6_token_counts,
