@@ -202,10 +202,9 @@ def redact(text: str, spans: str) -> str:
 
 def redact_frame(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df with all spans in their texts replaced by their kinds. Null text stays null."""
-    found = find(df, text, tuple(df.columns))
+    found, k = find(df, text, tuple(df.columns)), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = df.columns.index(text)
         for batch in slices(batches):
             spans = batch.column(batch.num_columns - 1).to_pylist()
             texts = batch.column(k)
