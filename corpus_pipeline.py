@@ -13,8 +13,9 @@ from tidewater.llm.common import table, written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; a missing language is filled in."""
     model = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, model, keep=tuple(docs.columns)).where(~F.col("rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # its columns' names can't clash with new ones
+    found = langid.predict(packed, model, keep=("row",)).where(~F.col("rejected"))
+    return found.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

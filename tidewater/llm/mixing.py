@@ -76,7 +76,7 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, cap: in
 
 
 def plan(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source", schedules: Sequence[Schedule] = SCHEDULES, cap: int = 3, budget: float = 1.0) -> DataFrame:
-    """All columns of the rows, with size, source_size, target, taken, times (passes that take any of it) and the positions of these."""
+    """The row as a struct `__row`, size, source_size, target, taken, times (passes that take any of it) and the positions of these."""
     names = df.columns
     rows = df.select(F.struct(*[df[c] for c in names]).alias("__row"), size.alias("size"), df[source].alias("__source"), df[key].alias("__key"))
     rows = rows.withColumn("__digest", F.md5(F.coalesce(F.col("__key").cast("string"), F.lit("")).cast("binary"))).withColumn("__range", F.substring("__digest", 1, 3))
@@ -95,18 +95,14 @@ def plan(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source
     out = out.withColumn("taken", F.col("__passes") * F.col("size") + F.col("__partly")).withColumn("times", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("__passes") + (F.col("__partly") > 0).cast("int")).cast("bigint"))
     place = lambda k: moment(F.col("pieces"), F.col("weight") * ((k * F.col("source_size") + F.col("__at")) / F.col("target")))
     positions = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1), place))
-    return out.withColumn("positions", positions).select("__row.*", "size", "source_size", "target", "taken", "times", "positions")
-
-
-def in_order(planned: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each time that a document is taken, range-sorted by training position."""
-    each = planned.where(F.col("times") > 0).select(*columns, F.explode("positions").alias("__position"))
-    return each.repartitionByRange("__position").sortWithinPartitions("__position").select(*columns)
+    return out.withColumn("positions", positions).select("__row", "size", "source_size", "target", "taken", "times", "positions")
 
 
 def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **settings) -> DataFrame:
-    """The training sequence, with the columns of the documents."""
-    return in_order(plan(df, size, key, source, **settings), df.columns)
+    """The training sequence: a row for each time that a document is taken, range-sorted by training position, with the columns of the documents whatever their names."""
+    planned = plan(df, size, key, source, **settings)
+    each = planned.where(F.col("times") > 0).select("__row", F.explode("positions").alias("position"))
+    return each.repartitionByRange("position").sortWithinPartitions("position").select("__row.*")
 
 
 #: The mix of `documents` in DuckDB SQL.

@@ -202,15 +202,16 @@ def redact(text: str, spans: str) -> str:
 
 def redact_frame(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df with all spans in their texts replaced by their kinds. Null text stays null."""
-    found, k = find(df, text, tuple(df.columns)), df.columns.index(text)
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text]
+    packed = df.select(F.struct(F.lit(0).alias("__"), *rest).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = find(packed, "text", ("row", "text")).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            texts = batch.column(k)
+            texts, spans = batch.column(1), batch.column(2).to_pylist()
             if any(spans):
                 texts = pa.array([redact(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)], pa.string())
-            columns = [texts if i == k else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
 
-    return found.select(*df.columns, "spans").mapInArrow(run, df.schema)
+    done = found.select("row", "text", "spans").mapInArrow(run, packed.schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

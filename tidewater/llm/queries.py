@@ -21,7 +21,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range-sorted by the position at which a document is first taken; documents that are not taken have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_words"))
     planned = mixing.plan(docs, F.col("n_words"))
-    first = planned.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    first = planned.select("__row.doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
     return first.repartitionByRange("position").sortWithinPartitions("position")
 
 

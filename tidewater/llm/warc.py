@@ -35,6 +35,7 @@ from tidewater.llm.common import remove, shuffle_partitions, slices
 
 MANIFEST = "manifest.json"
 DATE = "2000-01-01T00:00:00Z"
+ATTEMPTS = "part int, place int, name string, records bigint, bytes bigint, sha256 string"
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -122,13 +123,13 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", ht
         columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["part", "place", "name", "records", "bytes", "sha256"])
 
-    written = _sorted_records(df, key, url, html, least).mapInArrow(run, "part int, place int, name string, records bigint, bytes bigint, sha256 string")
+    written = _sorted_records(df, key, url, html, least).mapInArrow(run, ATTEMPTS)
     written.write.parquet(f"{folder}/attempts")  # one attempt of each task
     return _commit(spark, folder)
 
 
 def _commit(spark: SparkSession, folder: str) -> list[dict]:
-    found = spark.read.parquet(f"{folder}/attempts").orderBy("part", "place").toLocalIterator()
+    found = spark.read.schema(ATTEMPTS).parquet(f"{folder}/attempts").orderBy("part", "place").toLocalIterator()
     path = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     files = path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     listed = []
