@@ -66,8 +66,8 @@ def resolved(path: Column, base: str) -> Column:
 
 
 def local_form(path: Column) -> Column:
-    """Paths of local files in one spelling, with or without scheme and escapes; others as they are."""
-    return F.regexp_replace(decoded(path), r"^file:/+", "/")
+    """Paths of local files in one spelling, with or without scheme; others as they are."""
+    return F.regexp_replace(path, r"^file:/+", "/")
 
 
 def hive_values(relative_path: Column) -> Column:

@@ -47,7 +47,7 @@ def rows_of(spark: SparkSession, schema: T.StructType, partition_columns: list[s
         physical = [T.StructField(f.name, f.dataType) for f in plain if f.name in partition_columns]
         raw = spark.read.schema(T.StructType([*local, *physical])).option("basePath", _root(names)).option("recursiveFileLookup", "true").parquet(*names)
         values = spark.createDataFrame([(r.path, r.partition_values) for r in chosen], "path string, partition_values map<string,string>").select(paths.local_form(F.col("path")).alias("__path"), "partition_values")
-        with_path = raw.withColumn("__path", paths.local_form(F.col("_metadata.file_path")))
+        with_path = raw.withColumn("__path", paths.local_form(paths.decoded(F.col("_metadata.file_path"))))
         joined = with_path.join(values, "__path")
         rows = joined.select(*[F.coalesce(F.col(f.name), F.col("partition_values")[f.name].cast(f.dataType)).alias(f.name) if f.name in partition_columns else F.col(f.name) for f in plain])
     for column, op, value in where:

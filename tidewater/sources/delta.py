@@ -7,6 +7,7 @@ import re
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,20 @@ from tidewater.sources import base
 
 LOG = "_delta_log"
 _DV = "struct<storageType:string,pathOrInlineDv:string,offset:bigint,sizeInBytes:bigint,cardinality:bigint>"
-ACTIONS = T.StructType.fromDDL(
+ACTIONS = (
     "protocol struct<minReaderVersion:int,minWriterVersion:int>, "
     "metaData struct<id:string,name:string,schemaString:string,partitionColumns:array<string>,configuration:map<string,string>,createdTime:bigint>, "
     f"add struct<path:string,partitionValues:map<string,string>,size:bigint,modificationTime:bigint,stats:string,deletionVector:{_DV}>, "
     f"remove struct<path:string,deletionVector:{_DV}>, "
     "commitInfo struct<timestamp:bigint,operation:string>"
 )
+
+
+@cache
+def _actions_schema() -> T.StructType:
+    return T.StructType.fromDDL(ACTIONS)
+
+
 STATS = "numRecords bigint, minValues map<string,string>, maxValues map<string,string>, nullCount map<string,string>"
 
 
@@ -64,18 +72,18 @@ class Source(base.Source):
         if {"sidecar", "checkpointMetadata"} & set(raw.columns):
             raise TableError("checkpoints with sidecars are not read")
         # read by name, as writers differ in what they keep
-        rows = self.spark.read.schema(T.StructType([f for f in ACTIONS if f.name in raw.columns and f.name in ("protocol", "metaData", "add")])).parquet(*map(self.store.full, names))
+        rows = self.spark.read.schema(T.StructType([f for f in _actions_schema() if f.name in raw.columns and f.name in ("protocol", "metaData", "add")])).parquet(*map(self.store.full, names))
         return rows.withColumn("version", F.lit(v).cast("bigint")).withColumn("pos", F.lit(0))
 
     def _actions(self, whole: bool = True) -> DataFrame:
         """version, pos and the actions; without whole only of commits."""
         checkpoint, commits = self._listed()
-        empty = self.spark.createDataFrame([], T.StructType([T.StructField("version", T.LongType()), T.StructField("pos", T.IntegerType()), *ACTIONS]))
+        empty = self.spark.createDataFrame([], T.StructType([T.StructField("version", T.LongType()), T.StructField("pos", T.IntegerType()), *_actions_schema()]))
         rows = empty
         if commits:
             text = self.spark.read.text([p for _, p in commits], wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("bigint").alias("version"))
             lines = text.select("version", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-            rows = lines.select("version", "pos", F.from_json("line", ACTIONS).alias("a")).select("version", "pos", "a.*")
+            rows = lines.select("version", "pos", F.from_json("line", _actions_schema()).alias("a")).select("version", "pos", "a.*")
         if whole and checkpoint:
             rows = rows.unionByName(self._checkpoint(checkpoint), allowMissingColumns=True)
         return rows

@@ -18,7 +18,7 @@ from tidewater.sources.storage import Exists
 
 DIR = ".hoodie"
 NEWEST = 6
-COMMIT = T.StructType.fromDDL("partitionToWriteStats map<string,array<struct<fileId:string,path:string,numWrites:bigint,numDeletes:bigint,totalWriteBytes:bigint,fileSizeInBytes:bigint>>>, partitionToReplaceFileIds map<string,array<string>>, extraMetadata map<string,string>, operationType string")
+COMMIT = "partitionToWriteStats map<string,array<struct<fileId:string,path:string,numWrites:bigint,numDeletes:bigint,totalWriteBytes:bigint,fileSizeInBytes:bigint>>>, partitionToReplaceFileIds map<string,array<string>>, extraMetadata map<string,string>, operationType string"
 _completed = re.compile(r"(\d{14,17})(?:_\d+)?\.(commit|deltacommit|replacecommit)")
 #: Property names of the format.
 NAME, KIND, VERSION, FILE_FORMAT, PARTITIONS, SCHEMA = "hoodie.table.name", "hoodie.table.type", "hoodie.table.version", "hoodie.table.base.file.format", "hoodie.table.partition.fields", "hoodie.table.schema"
@@ -165,7 +165,7 @@ class Target(base.Target):
         below = changes.withColumn("rel", rel)
         if outside := below.where("rel IS NULL").select("path").first():
             raise TableError(f"{outside.path} isn't below {self.base}")
-        pieces = [F.concat(F.lit(f"{c}="), F.coalesce(F.url_encode(F.col("partition_values")[c]), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in columns]
+        pieces = [F.concat(F.lit(f"{c}="), F.coalesce(F.replace(F.url_encode(F.col("partition_values")[c]), F.lit("+"), F.lit("%20")), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in columns]
         partition = F.concat_ws("/", *pieces) if columns else F.lit("")
         group = F.concat(F.lower(F.hex(F.xxhash64("rel"))), F.lit("-0"))
         escaped = F.replace(F.replace("rel", F.lit("%"), F.lit("%25")), F.lit("?"), F.lit("%3F"))

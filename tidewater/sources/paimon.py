@@ -17,7 +17,7 @@ from tidewater.model import DV, FILE_COLUMNS, FILES, STAT, Change, PartitionFiel
 from tidewater.operators.files import diff_files, latest_action, one_per_path
 from tidewater.sources import base
 
-ENTRY = T.StructType.fromDDL("entries array<struct<_KIND:int,_PARTITION:map<string,string>,_BUCKET:int,_TOTAL_BUCKETS:int,_FILE:struct<_FILE_NAME:string,_FILE_SIZE:bigint,_ROW_COUNT:bigint,_SCHEMA_ID:bigint,_LEVEL:int,_CREATION_TIME:bigint,_FILE_FORMAT:string>>>")
+ENTRY = "entries array<struct<_KIND:int,_PARTITION:map<string,string>,_BUCKET:int,_TOTAL_BUCKETS:int,_FILE:struct<_FILE_NAME:string,_FILE_SIZE:bigint,_ROW_COUNT:bigint,_SCHEMA_ID:bigint,_LEVEL:int,_CREATION_TIME:bigint,_FILE_FORMAT:string>>>"
 #: Entries of one manifest.
 MANIFEST_FILES = 10_000
 
