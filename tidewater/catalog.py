@@ -22,6 +22,8 @@ from tidewater.sync import Dataset
 
 #: Tables opt in to discovery by naming their targets here.
 TARGETS = "target_formats"
+#: Where the session's catalog keeps a table's format; `table_type` is reserved there.
+FORMAT = "source_table_format"
 
 
 def format_of(properties: dict[str, str]) -> str:
@@ -51,7 +53,7 @@ class SessionCatalog:
     def register(self, snapshot: Snapshot) -> None:
         t, name = snapshot.table, self._name(snapshot)
         quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        properties = {"table_type": t.format, "source_id": snapshot.source_id}
+        properties = {FORMAT: t.format, "source_id": snapshot.source_id}
         listed = ", ".join(f"{quoted(k)}={quoted(v)}" for k, v in properties.items())
         if not self.spark.catalog.tableExists(name.replace("`", "")):
             data, parts = schemas.hive_columns(t.schema, t.partition_columns)
@@ -102,7 +104,7 @@ class SessionCatalog:
             if properties.get(marker, "").strip():
                 told = self.spark.sql(f"DESCRIBE TABLE EXTENDED `{self.database}`.`{t.name}`").collect()
                 facts = {r.col_name: r.data_type for r in told}
-                source = parse_format(properties.get("table_type") or facts.get("Provider", ""))
+                source = parse_format(properties.get(FORMAT) or facts.get("Provider", ""))
                 out.append(Dataset(facts["Location"].removeprefix("file:"), source, targets_of(properties, marker), t.name))
         return out
 
