@@ -273,6 +273,36 @@ class _Pairs:
         return out
 
 
+class _Steps:
+    """The trie's steps in an open-addressed table: (node, byte) to the next node, 0 for none."""
+
+    def __init__(self, steps: dict[int, int]):
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.keys, self.to = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64, np.int32)
+        keys, to = np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps)) >> 8
+        for key, slot, node in zip(keys.tolist(), self._slot(keys).tolist(), to.tolist(), strict=True):
+            while self.keys[slot] != -1:
+                slot += 1
+            self.keys[slot], self.to[slot] = key, node
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        keys = node.astype(np.int64) << 8 | byte
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.to[slot], 0)
+        left = np.flatnonzero((there != keys) & (there != -1))
+        while len(left):
+            slot[left] += 1
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.to[slot[left[hit]]]
+            left = left[~hit & (there != -1)]
+        return out
+
+
 class TextEncoder:
     """Encodes many texts at once: splits all, then fills the prefix tables of their distinct pieces cell by cell, one column for each piece."""
 
@@ -284,17 +314,16 @@ class TextEncoder:
         self.split = Splitter(pattern)
         self.pairs = _Pairs(self.bpe)
         self.bpe._grow()
-        self.steps = np.zeros((len(self.bpe._steps) + 1, 256), np.int32)
-        for key, node in self.bpe._steps.items():
-            self.steps[key >> 8, key & 255] = node >> 8
-        self.ends = np.full(len(self.steps), -1, np.int32)
-        for node, rank in self.bpe._ends.items():
-            self.ends[node >> 8] = rank
+        self.steps = _Steps(self.bpe._steps)
+        self.ends = np.full(len(self.bpe._steps) + 1, -1, np.int32)
+        self.ends[np.fromiter(self.bpe._ends, np.int64, len(self.bpe._ends)) >> 8] = np.fromiter(self.bpe._ends.values(), np.int32, len(self.bpe._ends))
+        self.bpe._steps, self.bpe._ends = {}, {}  # the arrays take their place; a long piece brings them back
         self.size = np.fromiter(map(len, self.bpe.token), np.int64, len(self.bpe.token))
         self.place = np.cumsum(self.size) - self.size
         self.pool = np.frombuffer(b"".join(self.bpe.token), np.uint8)
         self.made = np.fromiter((self.bpe._edge(r) is not None for r in range(len(self.bpe.token))), bool, len(self.bpe.token)) if self.bpe.token else np.zeros(0, bool)
         self.odd = {t for t, r in self.bpe.ranks.items() if not self.made[r]}
+        self.bpe._edges.clear()  # only those of tokens that occur come back
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -335,7 +364,7 @@ class TextEncoder:
             live = np.arange(int(np.searchsorted(-size, -j)))
             node, before, i = np.zeros(len(live), np.int32), cells[j], j
             while len(live):
-                node = self.steps[node, data[begin[live] + i]]
+                node = self.steps.next(node, data[begin[live] + i])
                 on = node > 0
                 live, node = live[on], node[on]
                 i += 1
@@ -406,7 +435,7 @@ class TextEncoder:
 
 
 #: Bytes of text that are encoded at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 
 
 def by_size(values: list[bytes], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
