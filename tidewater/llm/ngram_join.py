@@ -7,9 +7,9 @@ the sets. That is at most d for a link, so of d + 1 + v segments v + 1 at least
 (pigeonhole), and each equal segment is a key that both documents have.
 
 Sizes are cut into bands that double, as all sketches compared must have the same number
-of segments; a document that can link into the next band is in that band too. Segments of
-less than `Band.least` shingles say little and are not keys, unless a document has too few
-others; then all its segments are keys. Only the first d + 1 + v keys of a document are
+of segments; a document that can link into the next band is in that band too. Empty
+segments say nothing and are not keys, unless a document has too few others; then all its
+segments are keys. Only the first d + 1 + v keys of a document are
 needed: what comes before the (v + 1)-th equal key of a pair is at most d changed and v
 equal ones. The keys thus lose no link, whatever the data.
 
@@ -72,12 +72,8 @@ class Band:
 
     @property
     def spare(self) -> int:
-        """v: keys that a pair shares beyond the first."""
-        return 0 if self.low < 6 else 1 if self.low < 7 else 2
-
-    @property
-    def least(self) -> int:
-        return 1 if self.low < 5 else 2
+        """v: keys that a pair shares beyond the first. Many, so that texts that only share a passage don't share enough."""
+        return self.limit.differ(self.top, self.top) // 4
 
     @property
     def segments(self) -> int:
@@ -89,6 +85,12 @@ class Band:
         return (100 - self.limit.percent) * (sizes + partner) // (100 + self.limit.percent) + 1 + self.spare
 
 
+def votes(sizes: np.ndarray, limit: Limit) -> np.ndarray:
+    """Keys that a set of this size shares with any that it links with, at least."""
+    of_band = np.array([Band(b, limit).spare + 1 for b in range(40)])
+    return of_band[np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)]
+
+
 class Shingler:
     """Distinct shingle hashes of many texts at once."""
 
@@ -143,7 +145,7 @@ def keys(hashes: np.ndarray, sizes: np.ndarray, band: Band) -> tuple[np.ndarray,
     ends = np.cumsum(count.reshape(-1))
     xor = np.append(np.uint64(0), np.bitwise_xor.accumulate(mix(hashes, 22)[order]))
     value = (xor[ends] ^ xor[ends - count.reshape(-1)]).reshape(n, wide)
-    good, need = count >= band.least, band.needed(sizes)[:, None]
+    good, need = count > 0, band.needed(sizes)[:, None]
     few = good.sum(axis=1, keepdims=True) < need
     sent = few | (good & (np.cumsum(good, axis=1) <= need))
     row, segment = np.nonzero(sent)
@@ -192,20 +194,30 @@ class _Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def components(work: _Work, links: DataFrame) -> DataFrame:
-    """links: a, b. Returns node, label for all linked nodes; label is the smallest node of the component."""
-    both = work.put(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = work.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        # the parent takes the smallest label that any of its nodes saw, then each node takes its parent's
-        seen = label.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        hook = seen.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("lowest"))
-        jump = seen.join(hook, F.col("label") == F.col("root")).select("node", "label", F.least("low", "lowest").alias("new"))
-        jump = work.put(jump, "labels")
-        if jump.where("new < label").isEmpty():
-            return jump.select("node", F.col("new").alias("label"))
-        label = jump.select("node", F.col("new").alias("label"))
+def components(work: _Work, links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """links: a, b; label: node and label so far. Returns node, label; label is the smallest node of the component.
+
+    Each vertex joins its smallest neighbour, and edges are contracted to what then still lies between
+    vertices, so that each round has less to do.
+    """
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    fresh = ends if label is None else ends.join(label, "node", "left_anti")
+    fresh = fresh.select("node", F.col("node").alias("label"))
+    label = work.put(fresh if label is None else label.unionByName(fresh), "labels")
+
+    def contract(edges: DataFrame, to: DataFrame) -> DataFrame:
+        """to: v, low."""
+        x = edges.join(to, F.col("a") == F.col("v")).select(F.col("low").alias("a"), "b")
+        x = x.join(to, F.col("b") == F.col("v")).select("a", F.col("low").alias("b")).where("a <> b")
+        return work.put(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    edges = contract(links.select("a", "b"), label.select(F.col("node").alias("v"), F.col("label").alias("low")))
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = work.put(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("low")), "lows")
+        label = work.put(label.join(low, F.col("label") == F.col("v"), "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
+        edges = contract(edges, low)
+    return label
 
 
 def _compare(work: _Work, pairs: DataFrame, texts: DataFrame, words: int, limit: Limit) -> DataFrame:
@@ -232,6 +244,23 @@ def _compare(work: _Work, pairs: DataFrame, texts: DataFrame, words: int, limit:
     return rows.repartition(parts, "centre").sortWithinPartitions("centre", "member").mapInArrow(run, "a bigint, b bigint, linked boolean").distinct()
 
 
+def _apart(texts: DataFrame, chosen: DataFrame, words: int, limit: Limit) -> DataFrame:
+    """Nodes that can't link with any other chosen one, as too many of their shingles are in no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in slices(batches):
+            values = raw(batch.column(1))
+            for start, end in by_size(values):
+                hashes, sizes = shingler.sets(values[start:end])
+                of = np.repeat(batch.column(0).slice(start, end - start).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(of), pa.array(np.repeat(sizes, sizes))], ["hash", "node", "n"])
+
+    found = texts.join(chosen, "node").select("node", "text").mapInArrow(run, "hash bigint, node bigint, n bigint")
+    alone = found.groupBy("hash").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n")).where("nodes = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("alone"), F.min("n").alias("n")).where(100 * (F.col("n") - F.col("alone")) < limit.percent * F.col("n")).select("node")
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, rounds: int = 2) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
     found = _grouped(df, key, text, words, percent, rounds)
@@ -281,13 +310,24 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, round
                     seen.clear()
                 hashes, sizes, found = hashes[np.repeat(new, sizes)], sizes[new], found[new]
                 key_, row = _flat_keys(hashes, sizes, limit)
-                yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(found[row]), pa.array(sizes[row], pa.int64())], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(found[row]), pa.array(votes(sizes, limit)[row], pa.int64())], ["key", "node", "votes"])
 
     described = work.put(rows.mapInArrow(describe, "id bigint, text_key bigint, node bigint, n bigint"), "documents")
     by_key = Window.partitionBy("key")
-    dealt = rows.select("text").mapInArrow(emit, "key bigint, node bigint, n bigint").select("key", "node", F.when(F.col("n") < 64, 1).when(F.col("n") < 128, 2).otherwise(3).alias("votes"))
-    shared = dealt.withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low < high").select("key", "node", "votes").distinct()
-    active = work.put(shared, "keys")
+    dealt = rows.select("text").mapInArrow(emit, "key bigint, node bigint, votes bigint")
+
+    def between(found: DataFrame, what: str) -> DataFrame:
+        """Keys that hold more than one value of the column."""
+        return found.withColumn("low", F.min(what).over(by_key)).withColumn("high", F.max(what).over(by_key)).where("low < high").drop("low", "high")
+
+    def enough(found: DataFrame, what: str) -> DataFrame:
+        """A node must share as many keys with others as a link needs; others can't link."""
+        for _ in range(2):
+            found = between(found.withColumn("own", F.count("*").over(Window.partitionBy("node"))).where("own >= votes").drop("own"), what)
+        return found
+
+    shared = work.put(between(dealt, "node").distinct(), "shared")
+    active = work.put(enough(shared, "node"), "keys")
     work.tidy()
 
     # texts of nodes that share a key, one for each
@@ -296,10 +336,10 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, round
     texts = work.put(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["text_key"] == wanted["text_key"])).select("node", "text").dropDuplicates(["node"]), "texts")
     work.tidy()
 
-    label, links, tested = None, None, None
+    label, tested = None, None
     for turn in range(rounds + 1):
         marked = active.withColumn("label", F.col("node")) if label is None else active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = marked.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low < high").select("key", "node", "votes", "label")
+        spread = between(marked, "label").select("key", "node", "votes", "label")
         if turn < rounds:
             end = F.min if turn % 2 == 0 else F.max
             star = spread.withColumn("centre", end(F.struct("label", "node")).over(by_key)).where(F.col("centre.label") != F.col("label"))
@@ -308,11 +348,9 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, round
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         else:
-            # a node must share as many keys with others as a link needs; dropping the rest leaves little to pair
-            kept = spread
-            for _ in range(2):
-                kept = kept.withColumn("own", F.count("*").over(Window.partitionBy("node"))).where("own >= votes").withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low < high").select("key", "node", "votes", "label")
-            kept = work.put(kept, "rest")
+            kept = work.put(enough(spread, "label"), "rest")
+            if not kept.isEmpty():
+                kept = work.put(enough(kept.join(_apart(texts, kept.select("node").distinct(), words, limit), "node", "left_anti"), "label"), "rest")
             x, y = kept.alias("x"), kept.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
             pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.votes", "y.votes")).alias("votes")).where(F.col("shared") >= F.col("votes")).select("a", "b")
@@ -328,8 +366,7 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, round
         tested = found if tested is None else tested.unionByName(found)
         new = found.where("linked").select("a", "b")
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            label = components(work, links)
+            label = components(work, new, label)
         work.tidy()
 
     label = label if label is not None else spark.createDataFrame([], "node bigint, label bigint")
