@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidewater import scan
 from tidewater.model import FILE_COLUMNS, FILES, Change, PartitionField, Snapshot, Table, TableError
 from tidewater.operators import files as op
+from tidewater.plans import catalogue
 from tidewater.plans.staging import Log
 from tidewater.sources import detect_format, open_source, open_target
 from tidewater.sources.storage import Exists
@@ -269,6 +270,15 @@ def test_monotone_clock(spark):
         assert [r.t for r in df.select("v", op.monotone(F.col("raw"), "v").alias("t")).orderBy("v").collect()] == want
 
 
+def test_monotone_clock_query_has_all_events(spark):
+    raws = {r.event_id: r.event_id * 7919 % 101 for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id").collect()}
+    want, now = {}, 0
+    for i in sorted(raws):
+        want[i] = now = max(raws[i], now + 1)
+    found = catalogue.QUERIES["monotone_clock"](spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len(raws) and {r.event_id: r.t for r in found} == want
+
+
 def test_partition_events_and_batches(spark):
     part = lambda items: spark.createDataFrame([([k], v) for k, v in items], "values array<string>, location string")
     found = op.diff_partitions(part([("a", "1"), ("b", "1"), ("c", "1")]), part([("b", "1"), ("c", "2"), ("d", "1")])).collect()
