@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -395,6 +396,28 @@ def test_pii_finds_base_and_contextual_spans(spark, docs, odd, none):
     assert all(found[i].startswith("email:") and "," not in found[i] for i in range(40))
 
 
+@pytest.mark.parametrize("text, want", [("eve [at] mail [dot] com", "eve [at] mail [dot] com"), ("ask eve(at)mail(dot)com now", "eve(at)mail(dot)com"), ("eve at mail dot com.", "eve at mail dot com"), ("to eve7 at mail dot example dot com, please", "eve7 at mail dot example dot com"), ("call (555) 123-4567.", "(555) 123-4567"), ("call 555 123 4567, or", "555 123 4567"), ("no (555 123 4567) of", "(555 123 4567)"), ("id 12 345 1.2.3.4 9", "12 345"), ("x 12345, y", "12345"), ("٠١٢٣٤ x", "٠١٢٣٤"), ("a 1 b 22", None)])
+def test_candidates_are_whole(text, want):
+    found = [text[a:b] for a, b, whole in pii.candidates(text, pii.base_spans(text)) if whole]
+    assert found == ([want] if want else [])
+
+
+def test_candidates_of_long_words_in_linear_time():
+    for text in ("at" * 50000 + "dot", "xat" + "adot" * 20000 + "_", "5)(" * 30000, "1 " * 50000, "5" + "!" * 50000, "at(dot " * 20000):
+        before = time.process_time()
+        list(pii.candidates(text, pii.base_spans(text)))
+        assert time.process_time() - before < 10
+
+
+def test_pii_finds_values_of_several_words(spark):
+    seeds = [(i, f"Some words. please write to me at bob{i}@mail.example.com for more") for i in range(40)]
+    forms = ["eve [at] mail [dot] com", "eve(at)mail(dot)com", "eve at mail dot example dot org", "(555) 123-4567", "555 123 4567"]
+    data = seeds + [(100 + i, f"Some words. please write to me at {v} for more") for i, v in enumerate(forms)]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    for i, v in enumerate(forms):
+        assert f"ctx_email:34:{34 + len(v)}" in found[100 + i].split(",")
+
+
 def test_redaction(spark, odd):
     assert pii.redact("a b@c.de f", "email:2:8") == "a <EMAIL> f"
     assert pii.redact("abcdef", "card:1:4,phone:2:5") == "a<CARD>f"

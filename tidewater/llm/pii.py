@@ -3,7 +3,7 @@
 Base spans come from four forms (email, ip, card, phone). They are the seeds of a
 bootstrap. A pattern is what stands around a span: the two words before it and the word
 after, or either alone, in lower case with digits as 0. An instance is a value that is
-shaped like an identifier (`CANDIDATE`) or a base span. Spark scores the graph of patterns
+shaped like an identifier (`candidates`) or a base span. Spark scores the graph of patterns
 and instances in turns: a pattern's score for a kind is the smoothed share of its distinct
 instances' scores, an instance's is that of the complement of all its patterns failing.
 Seeds keep score 1. A pattern is trusted with `support` distinct seeds of its kind at
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +34,13 @@ _domain = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A candidate: a word that holds 4 digits or more among letters, digits and signs, or `name at host dot domain`.
-CANDIDATE = re.compile(r"(?<!\S)(?=\S*\d)[\w#./:(),+-]++(?!\S)|(?<!\S)[A-Za-z0-9._-]+ ?[(\[]? ?at ?[)\]]? ?[A-Za-z0-9-]+(?: ?[(\[]? ?dot ?[)\]]? ?[A-Za-z0-9-]+)+(?!\S)")
+#: Candidates: a word that holds 4 digits or more among letters, digits and signs; neighbouring groups of digits; `name at host dot domain`, in brackets or not.
+WORD = re.compile(r"(?<!\S)(?=\S*\d)[\w#./:(),+-]++(?!\S)")
+_group = r"\(?\+?\d[\d()./-]*+(?=[^\w\s]*+(?!\S))"
+GROUPS = re.compile(rf"(?<![\w.,/()+-]){_group}(?:[^\S\r\n]{_group})+")
+#: Names of mailboxes have 64 characters at most, labels of hosts 63 (RFC 5321, RFC 1035); so no word is gone over more often than that.
+OBFUSCATED = re.compile(r"(?<![\w.-])[A-Za-z0-9._-]{1,64} ?[(\[]? ?at ?[)\]]? ?[A-Za-z0-9-]{1,63}(?: ?[(\[]? ?dot ?[)\]]? ?[A-Za-z0-9-]++)++(?!\w)")
+_digit = re.compile(r"\d")
 _word = re.compile(r"\S+")
 #: How far a context is looked for.
 REACH = 60
@@ -94,23 +101,50 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Spans shaped like identifiers that touch no base span."""
-    taken = sorted((a, b) for _, a, b in base)
-    k = 0
-    for m in CANDIDATE.finditer(text):
-        a, b = m.start(), m.end()
-        while b > a and text[b - 1] in ".:,)":
-            b -= 1
-        if " at " not in m[0] and sum(map(str.isdigit, text[a:b])) < 4:
-            continue
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if not (k < len(taken) and taken[k][0] < b):
-            yield a, b
+def _obfuscated(text: str) -> bool:
+    """Whether the text can hold an obfuscated address."""
+    return "at" in text and "dot" in text
 
 
-GRAPH = "pattern string, instance string, kind string, row string, start int, end int"
+def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """Spans shaped like identifiers that touch no base span, and whether each is whole, not part of a longer one."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k == len(ends) or starts[k] >= b
+
+    enough = lambda a, b: sum(map(str.isdigit, text[a:b])) >= 4
+    found = set()
+    for m in OBFUSCATED.finditer(text) if _obfuscated(text) else ():
+        if free(*m.span()):
+            found.add(m.span())
+    for m in WORD.finditer(text) if _digit.search(text) else ():
+        a, b = m.start(), m.start() + len(m[0].rstrip(".:,)"))
+        if enough(a, b) and free(a, b):
+            found.add((a, b))
+    for m in GROUPS.finditer(text):
+        for there, run in groupby((w.span() for w in _word.finditer(text, *m.span())), lambda w: free(*w)):
+            run = list(run)
+            a, b = run[0][0], run[-1][1]
+            b = a + len(text[a:b].rstrip("./-()"))
+            if text[b : b + 1] == ")" and text.rfind("(", a, b) > text.rfind(")", a, b):
+                b += 1
+            if there and len(run) > 1 and enough(a, b):
+                found.add((a, b))
+    reach = 0
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        yield a, b, b > reach
+        reach = max(reach, b)
+
+
+GRAPH = "pattern string, instance string, kind string, row string, start int, end int, whole boolean"
 
 
 def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,23 +152,23 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for text in batch.column(0).to_pylist():
-            if not text or "@" not in text and not re.search("[0-9]", text) and " at " not in text:
+            if not text or "@" not in text and not _digit.search(text) and not _obfuscated(text):
                 continue
             base = base_spans(text)
             row = None
-            for kind, a, b in [*base, *((None, a, b) for a, b in candidates(text, base))]:
+            for kind, a, b, whole in [*((*s, True) for s in base), *((None, *s) for s in candidates(text, base))]:
                 row = row or hashlib.sha256(text.encode()).hexdigest()[:32]
                 value = hashlib.sha256(text[a:b].lower().encode()).hexdigest()[:24]
-                rows += [(c, value, kind, row, a, b) for c in contexts(text, a, b)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [*[pa.string()] * 4, pa.int32(), pa.int32()], strict=True)], ["pattern", "instance", "kind", "row", "start", "end"])
+                rows += [(c, value, kind, row, a, b, whole) for c in contexts(text, a, b)]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [*[pa.string()] * 4, pa.int32(), pa.int32(), pa.bool_()], strict=True)], ["pattern", "instance", "kind", "row", "start", "end", "whole"])
 
 
 def bootstrap(df: DataFrame, text: str = "text", support: int = 5, sure: float = 0.8, rounds: int = 3) -> DataFrame:
     """Spans that trusted patterns find: row (digest of the text), kind, start, end."""
     spark = df.sparkSession
     seen = written(spark, df.select(df[text].cast("string")).mapInArrow(_instances, GRAPH), "pii-graph")
-    edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))  # a value is an instance of a pattern once
+    edges = seen.where("whole").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))  # a value is an instance of a pattern once, and a part of it isn't another
     counted = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
     # only patterns with enough seeds of one kind can ever be trusted, so others leave the graph at once
     kinds = F.array(*[F.struct(F.col(f"n_{k}").alias("seeds"), F.lit(k).alias("of")) for k in KINDS])
