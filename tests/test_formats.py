@@ -229,6 +229,32 @@ def test_replaced_groups(spark, tmp_path):
         s.snapshot().files.collect()
 
 
+def test_hudi_log_files_are_refused(spark, tmp_path):
+    """Until a compaction writes a base file after them, whether or not the group has one before."""
+    h = tmp_path / ".hoodie"
+    h.mkdir()
+    (h / "hoodie.properties").write_text("hoodie.table.version=6\nhoodie.table.type=MERGE_ON_READ\nhoodie.table.schema=" + json.dumps({"type": "record", "name": "r", "fields": [{"name": "id", "type": "long"}]}) + "\n")
+    w = lambda g, p: {"fileId": g, "path": p, "numWrites": 1, "fileSizeInBytes": 5}
+    put = lambda name, *stats: (h / name).write_text(json.dumps({"partitionToWriteStats": {"": list(stats)}}))
+    files = lambda: sorted(r.path.rsplit("/", 1)[1] for r in open_source(spark, "hudi", str(tmp_path)).snapshot().files.collect())
+    put("20240101000000000.deltacommit", w("g1", "g1_0_1.parquet"))
+    assert files() == ["g1_0_1.parquet"]
+    put("20240102000000000.deltacommit", w("", ".g1_1.log.1_0-1-1"))
+    with pytest.raises(TableError, match="log files"):
+        files()
+    with pytest.raises(TableError, match="log files"):
+        scan.scan(spark, str(tmp_path), "hudi")
+    with pytest.raises(TableError, match="log files"):
+        Controller(spark).sync(Dataset(str(tmp_path), "hudi", ("delta",)))
+    put("20240103000000000.commit", w("g1", "g1_0_3.parquet"))
+    assert files() == ["g1_0_3.parquet"]
+    put("20240104000000000.deltacommit", w("g2", ".g2_4.log.1_0-1-1"))
+    with pytest.raises(TableError, match="log files"):
+        files()
+    (h / "20240105000000000.replacecommit").write_text(json.dumps({"partitionToWriteStats": {"": [w("g3", "g3_0_5.parquet")]}, "partitionToReplaceFileIds": {"": ["g2"]}}))
+    assert files() == ["g1_0_3.parquet", "g3_0_5.parquet"]
+
+
 def _files(spark, items):
     return spark.createDataFrame([(p, "PARQUET", s, s, {}, 1, None, None) for p, s in items], FILES)
 

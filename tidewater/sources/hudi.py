@@ -106,11 +106,17 @@ class Source(base.Source):
         name = lambda p: F.substring_index(p, "/", -1)
         writes = commits.select("instant", F.explode("c.partitionToWriteStats").alias("partition", "stats")).select("instant", "partition", F.explode("stats").alias("w"))
         group = F.coalesce(F.when(F.col("w.fileId") != "", F.col("w.fileId")), F.regexp_extract(name(F.col("w.path")), r"^([^_]+)", 1))
-        writes = writes.where(~name(F.col("w.path")).rlike(r"^\.|\.log\.")).select("instant", "partition", group.alias("group"), "w")
-        last = writes.groupBy("partition", "group").agg(F.max_by("w", "instant").alias("w"), F.max("instant").alias("instant"))
+        # the group of a log file's name stands between its dot and the first underscore
+        group = F.regexp_replace(group, r"^\.", "")
+        writes = writes.select("instant", "partition", group.alias("group"), "w", name(F.col("w.path")).rlike(r"^\.|\.log\.").alias("log"))
+        based, logged = F.when(~F.col("log"), F.col("instant")), F.when(F.col("log"), F.col("instant"))
+        last = writes.groupBy("partition", "group").agg(F.max_by("w", based).alias("w"), F.max("instant").alias("instant"), F.max(based).alias("based"), F.max(logged).alias("logged"))
         replaced = commits.select("instant", F.explode("c.partitionToReplaceFileIds").alias("partition", "groups")).select(F.col("instant").alias("at"), F.col("partition").alias("p"), F.explode("groups").alias("g"))
         # a commit replaces groups before it writes its own
         live = last.join(replaced, (F.col("partition") == F.col("p")) & (F.col("group") == F.col("g")) & (F.col("at") > F.col("instant")), "left_anti")
+        if not self.lenient and any(action == "deltacommit" for _, action, _ in line) and not live.where("logged >= coalesce(based, '')").isEmpty():
+            raise TableError(f"{self.base} has log files that aren't compacted; what they change would be lost")
+        live = live.where("based IS NOT NULL")
         segments = F.split("partition", "/")
         values = F.create_map().cast("map<string,string>")
         if columns:
