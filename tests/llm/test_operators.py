@@ -208,6 +208,20 @@ def test_ngram_large_group_of_near_copies(spark):
     assert rows(out) == brute_groups(data)
 
 
+def test_ngram_links_are_brute_forces(spark):
+    """Also between texts that already are in one component."""
+    draw = random.Random(15)
+    data = variants() + [(10_000, None), (10_001, ""), (10_003, "A b"), (10_004, "a  B"), (10_004, "a  B")]
+    for i in range(60):
+        text = [f"w{j}" for j in range(120)]
+        for _ in range(draw.randint(0, 2)):
+            text[draw.randrange(120)] = f"x{draw.randrange(10**6)}"
+        data.append((20_000 + i, " ".join(text)))
+    sets = [ngram_join.shingles((t or "").encode(), 4) for _, t in data]
+    want = Counter((i, sum(bool(s) and n != m and 100 * len(s & o) >= 85 * len(s | o) for m, o in enumerate(sets))) for n, ((i, _), s) in enumerate(zip(data, sets, strict=True)))
+    assert rows(ngram_join.near_links(spark.createDataFrame(data, "doc_id bigint, text string"))) == want
+
+
 def test_ngram_keys_lose_no_pair():
     draw, limit = np.random.default_rng(7), ngram_join.Limit(85)
     for _ in range(3000):

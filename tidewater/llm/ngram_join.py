@@ -279,8 +279,34 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     return once.where("__nth = 1").select(*df.columns)
 
 
-def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, rounds: int) -> DataFrame:
-    """id, text_key, n, label, least of each row."""
+def near_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """key and n_links, the number of other rows that each row links with, exactly. Compares all pairs of nodes that share enough keys, so a group of near copies costs the square of its different sets; equal sets are counted, not compared."""
+    work, limit, described, active, texts = _prepared(df, key, text, words, percent)
+    x, y = active.alias("x"), active.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.votes", "y.votes")).alias("votes")).where(F.col("shared") >= F.col("votes")).select("a", "b")
+    linked = work.put(_compare(work, work.put(pairs, "pairs"), texts, words, limit), "compared").where("linked")
+    copies = work.put(described.groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    ends = linked.select(F.col("a").alias("of"), F.col("b").alias("node")).unionByName(linked.select(F.col("b").alias("of"), F.col("a").alias("node")))
+    others = ends.join(copies, "node").groupBy(F.col("of").alias("node")).agg(F.sum("copies").alias("others"))
+    counted = described.join(copies, "node").join(others, "node", "left")
+    return counted.select(F.col("id").alias(key), F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("n_links"))
+
+
+def _between(found: DataFrame, what: str) -> DataFrame:
+    """Keys that hold more than one value of the column."""
+    return found.withColumn("low", F.min(what).over(Window.partitionBy("key"))).withColumn("high", F.max(what).over(Window.partitionBy("key"))).where("low < high").drop("low", "high")
+
+
+def _enough(found: DataFrame, what: str) -> DataFrame:
+    """A node must share as many keys with others as a link needs; others can't link."""
+    for _ in range(2):
+        found = _between(found.withColumn("own", F.count("*").over(Window.partitionBy("node"))).where("own >= votes").drop("own"), what)
+    return found
+
+
+def _prepared(df: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[_Work, Limit, DataFrame, DataFrame, DataFrame]:
+    """Rows described by id, text_key, node and n; keys that nodes share; a text of each of these nodes."""
     spark, limit = df.sparkSession, Limit(percent)
     work = _Work(spark)
     content = F.coalesce(df[text].cast("string"), F.lit(""))
@@ -313,21 +339,10 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, round
                 yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(found[row]), pa.array(votes(sizes, limit)[row], pa.int64())], ["key", "node", "votes"])
 
     described = work.put(rows.mapInArrow(describe, "id bigint, text_key bigint, node bigint, n bigint"), "documents")
-    by_key = Window.partitionBy("key")
     dealt = rows.select("text").mapInArrow(emit, "key bigint, node bigint, votes bigint")
 
-    def between(found: DataFrame, what: str) -> DataFrame:
-        """Keys that hold more than one value of the column."""
-        return found.withColumn("low", F.min(what).over(by_key)).withColumn("high", F.max(what).over(by_key)).where("low < high").drop("low", "high")
-
-    def enough(found: DataFrame, what: str) -> DataFrame:
-        """A node must share as many keys with others as a link needs; others can't link."""
-        for _ in range(2):
-            found = between(found.withColumn("own", F.count("*").over(Window.partitionBy("node"))).where("own >= votes").drop("own"), what)
-        return found
-
-    shared = work.put(between(dealt, "node").distinct(), "shared")
-    active = work.put(enough(shared, "node"), "keys")
+    shared = work.put(_between(dealt, "node").distinct(), "shared")
+    active = work.put(_enough(shared, "node"), "keys")
     work.tidy()
 
     # texts of nodes that share a key, one for each
@@ -336,21 +351,28 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, round
     texts = work.put(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["text_key"] == wanted["text_key"])).select("node", "text").dropDuplicates(["node"]), "texts")
     work.tidy()
 
+    return work, limit, described, active, texts
+
+
+def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, rounds: int) -> DataFrame:
+    """id, text_key, n, label, least of each row."""
+    spark = df.sparkSession
+    work, limit, described, active, texts = _prepared(df, key, text, words, percent)
     label, tested = None, None
     for turn in range(rounds + 1):
         marked = active.withColumn("label", F.col("node")) if label is None else active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = between(marked, "label").select("key", "node", "votes", "label")
+        spread = _between(marked, "label").select("key", "node", "votes", "label")
         if turn < rounds:
             end = F.min if turn % 2 == 0 else F.max
-            star = spread.withColumn("centre", end(F.struct("label", "node")).over(by_key)).where(F.col("centre.label") != F.col("label"))
+            star = spread.withColumn("centre", end(F.struct("label", "node")).over(Window.partitionBy("key"))).where(F.col("centre.label") != F.col("label"))
             pairs = star.groupBy(F.col("centre.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.min("votes").alias("votes")).where(F.col("shared") >= F.col("votes"))
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         else:
-            kept = work.put(enough(spread, "label"), "rest")
+            kept = work.put(_enough(spread, "label"), "rest")
             if not kept.isEmpty():
-                kept = work.put(enough(kept.join(_apart(texts, kept.select("node").distinct(), words, limit), "node", "left_anti"), "label"), "rest")
+                kept = work.put(_enough(kept.join(_apart(texts, kept.select("node").distinct(), words, limit), "node", "left_anti"), "label"), "rest")
             x, y = kept.alias("x"), kept.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
             pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.votes", "y.votes")).alias("votes")).where(F.col("shared") >= F.col("votes")).select("a", "b")
