@@ -423,6 +423,18 @@ def test_candidates_of_long_words_in_linear_time():
         assert time.process_time() - before < 10
 
 
+@pytest.mark.parametrize("text, value, want", [("b@x.de is my address", "b@x.de", ["R is"]), ("x" * 100 + " b@x.de", "b@x.de", [f"L {'x' * 60}"]), ("x" * 100 + ":b@x.de. Ok", "b@x.de", [f"L {'x' * 59}:", f"B {'x' * 59}: _ .", "R . ok"]), ("a b c1 b@x.de" + " " * 99 + "d", "b@x.de", ["L b c0", "B b c0 _ d", "R d"]), ("b@x.de.", "b@x.de", [])])
+def test_pii_contexts(text, value, want):
+    a = text.index(value)
+    assert pii.contexts(text, a, a + len(value)) == want
+
+
+def test_pii_finds_what_only_follows(spark):
+    data = [(i, f"user{i}@mail.example.com is their address {i}") for i in range(40)] + [(100 + i, f"eve_{12345 + i} is her name") for i in range(3)]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert all(found[100 + i] == "ctx_email:0:9" for i in range(3))
+
+
 def test_pii_finds_values_of_several_words(spark):
     seeds = [(i, f"Some words. please write to me at bob{i}@mail.example.com for more") for i in range(40)]
     forms = ["eve [at] mail [dot] com", "eve(at)mail(dot)com", "eve at mail dot example dot org", "(555) 123-4567", "555 123 4567"]

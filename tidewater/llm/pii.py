@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -42,7 +42,7 @@ GROUPS = re.compile(rf"(?<![\w.,/()+-]){_group}(?:[^\S\r\n]{_group})+")
 OBFUSCATED = re.compile(r"(?<![\w.-])[A-Za-z0-9._-]{1,64} ?[(\[]? ?at ?[)\]]? ?[A-Za-z0-9-]{1,63}(?: ?[(\[]? ?dot ?[)\]]? ?[A-Za-z0-9-]++)++(?!\w)")
 _digit = re.compile(r"\d")
 _word = re.compile(r"\S+")
-#: How far a context is looked for.
+#: Characters that stand for a longer word.
 REACH = 60
 
 
@@ -86,18 +86,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    left = [w[0] for w in _word.finditer(text, max(0, start - REACH), start)]
-    if start > REACH and left and not text[start - REACH - 1].isspace():
-        left = left[1:]  # cut in the middle
-    right = _word.search(text, end, min(len(text), end + REACH))
+def words_of(text: str) -> tuple[list[int], list[int]]:
+    """Where words start and end."""
+    spans = [m.span() for m in _word.finditer(text)]
+    return [a for a, _ in spans], [b for _, b in spans]
+
+
+def contexts(text: str, start: int, end: int, words: tuple[list[int], list[int]] | None = None) -> list[str]:
+    """Patterns L (up to two words before), R (what follows, up to a word with a letter or digit) and B. Of a word of more than REACH characters those nearest to the span stand for it."""
+    starts, ends = words or words_of(text)
     shape = lambda w: re.sub(r"\d", "0", w.lower())
+    k = bisect_left(starts, start)
+    before = [shape(text[max(starts[i], min(ends[i], start) - REACH) : min(ends[i], start)]) for i in range(max(0, k - 2), k)]
+    k = bisect_right(ends, end)
+    after = []
+    for i in range(k, min(k + 2, len(starts))):
+        a = max(starts[i], end)
+        after.append(shape(text[a : min(ends[i], a + REACH)]))
+        if any(map(str.isalnum, after[-1])):
+            break
     out = []
-    if left:
-        before = " ".join(shape(w) for w in left[-2:])
-        out.append(f"L {before}")
-        if right:
-            out.append(f"B {before} _ {shape(right[0])}")
+    if before:
+        out.append(f"L {' '.join(before)}")
+        if after:
+            out.append(f"B {' '.join(before)} _ {after[0]}")
+    if after and any(map(str.isalnum, after[-1])):  # a full stop alone marks nothing
+        out.append(f"R {' '.join(after)}")
     return out
 
 
@@ -155,11 +169,12 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or "@" not in text and not _digit.search(text) and not _obfuscated(text):
                 continue
             base = base_spans(text)
-            row = None
+            row = words = None
             for kind, a, b, whole in [*((*s, True) for s in base), *((None, *s) for s in candidates(text, base))]:
                 row = row or hashlib.sha256(text.encode()).hexdigest()[:32]
+                words = words or words_of(text)
                 value = hashlib.sha256(text[a:b].lower().encode()).hexdigest()[:24]
-                rows += [(c, value, kind, row, a, b, whole) for c in contexts(text, a, b)]
+                rows += [(c, value, kind, row, a, b, whole) for c in contexts(text, a, b, words)]
         columns = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [*[pa.string()] * 4, pa.int32(), pa.int32(), pa.bool_()], strict=True)], ["pattern", "instance", "kind", "row", "start", "end", "whole"])
 
