@@ -13,6 +13,7 @@ from tidewater import __main__ as cli
 from tidewater import scan
 from tidewater.catalog import RestCatalog, SessionCatalog, targets_of
 from tidewater.model import TableError
+from tidewater.plans import catalogue
 from tidewater.plans.staging import Log
 from tidewater.service import Service
 from tidewater.sources import open_source
@@ -162,6 +163,27 @@ def test_streams_follow(spark, tmp_path):
     assert told == [("SUCCESS", False), ("", True)]
 
 
+def test_change_feed_waits_until_the_stream_ends(monkeypatch):
+    asked = []
+
+    class Slow:
+        def awaitTermination(self, timeout=None):
+            asked.append(timeout)
+            return None if timeout is None else False
+
+        def exception(self):
+            return None
+
+    monkeypatch.setattr(catalogue, "_thirds", lambda spark, sf_dir: "/t")
+    monkeypatch.setattr(catalogue, "folder", lambda spark: "/f")
+    monkeypatch.setattr(catalogue, "follow", lambda *a, **k: Slow())
+    monkeypatch.setattr(catalogue, "once", lambda spark, key, make: make("/t"))
+    monkeypatch.setattr(catalogue.scans, "scan", lambda *a: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        catalogue.stream_change_feed(None, "/sf")
+    assert asked == [None]
+
+
 def test_entry_point(spark, tmp_path):
     import __spark_entry__ as entry
 

@@ -257,7 +257,7 @@ def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make(_: str) -> None:
         stream = follow(spark, "delta", "iceberg", path, f"{folder(spark)}/checkpoint")
-        stream.awaitTermination(120)
+        stream.awaitTermination()  # it ends when it has caught up
         if stream.exception():
             raise RuntimeError(str(stream.exception()))
 
