@@ -3,17 +3,26 @@
 A text is the average of the embeddings of its hashed subwords (all runs of 3 and of 4
 UTF-8 bytes of the lower-cased text, over the whole text); a linear softmax maps that to
 the languages. Both are trained by stochastic gradient descent in numpy on a bounded
-sample of labelled rows (`most`), of which the driver only gets counts by bucket: at most
-BUCKETS numbers a row. A fifth of the sample is held back to calibrate a temperature and
-a rejection threshold: the largest up to 0.4 that keeps 99.9 % of those rows that are
-predicted right.
+sample of labelled rows (`most`), by one task that gets counts by bucket; the driver only
+gets the model. About a fifth of the sample is held back to calibrate a temperature and two
+rejections:
+
+* by the score, below nine tenths of the least score of a held row that is predicted right;
+* by coverage, the share of the text's runs of 4 letters or spaces that stand in two or more
+  rows of the predicted language. Held rows show how much a language covers of its own
+  texts; what the other languages cover of them, and what it covers of them once their
+  letters are exchanged by a cipher, shows how much it covers of another language. The
+  limit is half way between the least of the former (but for one row in 200) and all but a
+  hundredth of the latter. A short text is given its sampling error.
 
 Null text and text without a letter are `und` with score 0 and rejected. With no labelled
-row, nothing is learned and all rows are `und`. Ties go to the language that sorts first.
+row, nothing is learned and all rows are `und` and rejected. Ties go to the language that
+sorts first. Texts without a run of 4 letters are judged by the score alone.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +38,13 @@ from tidewater.llm.common import slices
 
 BITS = 13
 BUCKETS = 1 << BITS
+#: Hashed runs for coverage.
+RUN_BITS = 20
+#: Bytes of letters and spaces; text is in lower case.
+_letters = np.zeros(256, bool)
+_letters[[32, *range(97, 123), *range(128, 256)]] = True
+#: Exchanges the letters a to z.
+CIPHER = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz", b"qazwsxedcrfvtgbyhnujmikolp")
 GAP = b"   "
 UNKNOWN = "und"
 letter = regex.compile(r"\p{L}").search
@@ -48,13 +64,36 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, 2 * (np.cumsum(sizes) - sizes)
 
 
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of four bytes of each text, one text after the other; which are of letters and spaces alone; where each text starts."""
+    data = np.frombuffer(GAP.join([*texts, b""]), np.uint8).astype(np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + len(GAP)
+    wide = np.zeros(len(data) + 3, np.uint32)
+    wide[: len(data)] = data
+    four = wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]
+    word = _letters[wide]
+    some = word[:-3] & word[1:-2] & word[2:-1] & word[3:] & ((four & 0xFFFF) != 0x2020)  # the gap between texts makes no runs
+    return ((four ^ four >> 15) * np.uint32(0x85EBCA77) >> (32 - RUN_BITS)).astype(np.int64), some, np.cumsum(sizes) - sizes
+
+
 @dataclass
 class Model:
     langs: list[str]
     weights: np.ndarray  # of each bucket: embedding times softmax weights
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.4
+    threshold: float = 0.0
+    known: np.ndarray | None = None  # of each hashed run: a bit for each language
+    covered: float = 0.0
+
+    def strange(self, texts: list[bytes], langs: np.ndarray) -> np.ndarray:
+        """Texts of which these languages cover too little."""
+        found, some, starts = runs(texts)
+        of = np.repeat(langs, np.diff(np.append(starts, len(found))))
+        hit = some & (self.known[found, of >> 3] >> (of & 7) & 1).astype(bool)
+        n = np.add.reduceat(some, starts, dtype=np.int64)
+        share = np.add.reduceat(hit, starts, dtype=np.int64) / np.maximum(n, 1)
+        return (n > 0) & (share + 1 / np.sqrt(np.maximum(n, 1)) < self.covered)
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         buckets, starts = grams(texts)
@@ -74,16 +113,19 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return x
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], width: int = 16, epochs: int = 12, rate: float = 20.0, batch: int = 32) -> Model:
-    """rows: (bucket, count) arrays of each text."""
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def train(rows: list[Counts], labels: list[str], held: np.ndarray, words: list[Counts], ciphered: list[Counts], width: int = 16, epochs: int = 12, rate: float = 20.0, batch: int = 32) -> Model:
+    """rows: buckets and their counts in each text; words: the same of its runs; ciphered: of the runs of the ciphered text, for held rows."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([langs.index(x) for x in labels])
     draw = np.random.default_rng(1)
-    order = draw.permutation(len(rows))
-    held = order[: len(rows) // 5]
-    fit = order[len(held) :]
+    if held.all():
+        held = np.zeros(len(rows), bool)
+    fit, held = np.flatnonzero(~held), np.flatnonzero(held)
     embed = draw.normal(0, 0.5, (BUCKETS, width)).astype(np.float32)
     out, bias = np.zeros((width, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     for epoch in range(epochs):
@@ -104,6 +146,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], width: i
             used = np.flatnonzero(x.any(axis=0))
             embed[used] -= step * (x[:, used].T @ back)
     model = Model(langs, embed @ out, bias)
+    often = np.zeros((len(langs), 1 << RUN_BITS), np.uint16)
+    for i in fit:
+        often[y[i], words[i][0]] += 1
+    model.known = np.packbits(often > 1, axis=0, bitorder="little").T.copy()
     if len(held):
         z = np.concatenate([_dense([rows[i] for i in held[k : k + 64]]) @ model.weights + bias for k in range(0, len(held), 64)])
         right = y[held]
@@ -116,30 +162,63 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], width: i
         p = model.probabilities(z)
         sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
         if len(sure):
-            model.threshold = float(min(0.4, sure[int(0.001 * len(sure))]))
+            model.threshold = 0.9 * float(sure[len(sure) // 1000])
+
+        def share(counts: Counts) -> np.ndarray:
+            return (often[:, counts[0]] > 1) @ counts[1] / counts[1].sum()
+
+        own, other = [], []
+        for i in held:
+            if words[i][1].sum() >= 100:
+                by = share(words[i])
+                own.append(by[y[i]])
+                other += [*np.sort(np.delete(by, y[i]))[-1:], share(ciphered[i]).max()]
+        if own:
+            least, most = np.sort(own)[len(own) // 200], np.sort(other)[int(0.99 * len(other))]
+            model.covered = float(least + min(most, least)) / 2
     return model
 
 
+def _counts(hashes: np.ndarray) -> Counts:
+    at, n = np.unique(hashes, return_counts=True)
+    return at.astype(np.int32), n.astype(np.int32)
+
+
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 3000) -> Model:
-    """df: labelled rows. Of them, the `most` with the smallest hashes of their keys are learned from."""
+    """df: labelled rows. Of them, the `most` with the smallest hashes of their keys are learned from, by one task."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     drawn = labelled.withColumn("draw", F.xxhash64("key"))
     cut = drawn.select("draw").orderBy("draw").limit(most).agg(F.max("draw")).first()[0]
+    if cut is None:
+        return train([], [], np.zeros(0, bool), [], [])
     sample = drawn.where(F.col("draw") <= F.lit(cut).cast("bigint")).select("draw", "key", "text", "lang")
+    lists = [f"{x}_{y}" for x in ("rows", "words", "ciphered") for y in ("at", "n")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             found = []
-            for value in pc.utf8_lower(batch.column(2)).to_pylist():
-                n = np.bincount(grams([value.encode()])[0], minlength=BUCKETS)
-                at = np.flatnonzero(n)
-                found.append((at.astype(np.int32), n[at].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], ["draw", "key", "lang", "at", "n"])
-
-    counted = sample.mapInArrow(count, f"draw bigint, key {df.schema[key].dataType.simpleString()}, lang string, at array<int>, n array<int>")
-    rows = counted.orderBy("draw", "key", "lang", "at").limit(most).toArrow()
-    at, n = rows.column("at").combine_chunks(), rows.column("n").combine_chunks()
-    return train([(at[i].values.to_numpy(), n[i].values.to_numpy()) for i in range(len(rows))], rows.column("lang").to_pylist())
+            for held, value in zip(batch.column(0).to_numpy() % 5 == 0, pc.utf8_lower(batch.column(2)).to_pylist(), strict=True):
+                data = value.encode()
+                row = [*_counts(grams([data])[0])]
+                for x in (data, data.translate(CIPHER) if held else b""):
+                    hashes, some, _ = runs([x])
+                    row += _counts(hashes[some])
+                found.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array([r[i] for r in found], pa.list_(pa.int32())) for i in range(6))], ["draw", "key", "lang", *lists])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws, langs, counts = [], [], [[], [], []]
+        for batch in batches:
+            draws += batch.column(0).to_pylist()
+            langs += batch.column(2).to_pylist()
+            for k in range(3):
+                at, n = batch.column(3 + 2 * k), batch.column(4 + 2 * k)
+                counts[k] += [(at[i].values.to_numpy(), n[i].values.to_numpy()) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(counts[0], langs, np.array(draws, np.int64) % 5 == 0, counts[1], counts[2]))], pa.binary())], ["model"])
+
+    counted = sample.mapInArrow(count, f"draw bigint, key {df.schema[key].dataType.simpleString()}, lang string, {', '.join(f'{x} array<int>' for x in lists)}")
+    rows = counted.orderBy("draw", "key", "lang", "rows_at").limit(most)
+    return pickle.loads(rows.mapInArrow(learn, "model binary").collect()[0].model)
 
 
 def held_out(key: Column) -> Column:
@@ -158,11 +237,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 if model.langs:
                     p = model.probabilities(model.logits(lowered[start:end]))
                     best, score = p.argmax(axis=1), np.where(some, p.max(axis=1), 0.0)
+                    strange = model.strange(lowered[start:end], best)
                     names = [model.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
                 else:
-                    score, names = np.zeros(end - start), [UNKNOWN] * (end - start)
+                    score, names, strange = np.zeros(end - start), [UNKNOWN] * (end - start), np.ones(end - start, bool)
                 columns = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(~some | (score < model.threshold))], [*keep, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(~some | strange | (score < model.threshold))], [*keep, "lang_pred", "score", "rejected"])
 
     fields = [df.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
