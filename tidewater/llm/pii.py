@@ -3,13 +3,19 @@
 Base spans come from four forms (email, ip, card, phone). They are the seeds of a
 bootstrap. A pattern is what stands around a span: the two words before it and the word
 after, or either alone, in lower case with digits as 0. An instance is a value that is
-shaped like an identifier (`candidates`) or a base span. Spark scores the graph of patterns
-and instances in turns: a pattern's score for a kind is the smoothed share of its distinct
-instances' scores, an instance's is that of the complement of all its patterns failing.
-Seeds keep score 1. A pattern is trusted with `support` distinct seeds of its kind at
-least and a score of `sure` or more; candidates beside trusted patterns become spans of
-the kind `ctx_` and the seed's kind. A value that only ever stands in other contexts keeps
-score 0. The trusted patterns are a table, joined to the candidates, never collected.
+shaped like an identifier (`candidates`) or a base span. Of a word of more than REACH
+characters, those nearest to the span stand for it.
+
+Spark scores the graph of patterns and instances round by round. Seeds have confidence 1 in
+their kind. A pattern's score for a kind is the sum of its distinct instances' confidences
+over their number and one; it is trusted once `support` of its instances have any, its score
+is `sure` or more and the share that has any isn't luck (the lower end of its 95 % interval
+is `share` or more). Instances without a confidence get that of the best pattern that was
+trusted in the round, and support other patterns from the next round on, so that confidence
+fades with each step away from the seeds. Rounds end when no pattern is added. Scores are
+whole millionths, so that sums don't depend on their order. Candidates beside trusted patterns
+become spans of the kind `ctx_` and the pattern's kind. All patterns with `support` instances
+are in the graph, whatever these are; it is a table, and so are scores: none is collected.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans.
 Rows that repeat each get their spans, and count as one instance.
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import slices, written
@@ -179,26 +185,39 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [*[pa.string()] * 4, pa.int32(), pa.int32(), pa.bool_()], strict=True)], ["pattern", "instance", "kind", "row", "start", "end", "whole"])
 
 
-def bootstrap(df: DataFrame, text: str = "text", support: int = 5, sure: float = 0.8, rounds: int = 3) -> DataFrame:
+#: Confidence of a seed.
+ONE = 1_000_000
+
+
+def least_share(some: Column, n: Column) -> Column:
+    """Lower end of Wilson's 95 % interval."""
+    z2 = 1.96**2
+    p = some / n
+    return (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+
+
+def bootstrap(df: DataFrame, text: str = "text", support: int = 5, sure: float = 0.6, share: float = 0.55) -> DataFrame:
     """Spans that trusted patterns find: row (digest of the text), kind, start, end."""
     spark = df.sparkSession
     seen = written(spark, df.select(df[text].cast("string")).mapInArrow(_instances, GRAPH), "pii-graph")
     edges = seen.where("whole").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))  # a value is an instance of a pattern once, and a part of it isn't another
-    counted = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
-    # only patterns with enough seeds of one kind can ever be trusted, so others leave the graph at once
-    kinds = F.array(*[F.struct(F.col(f"n_{k}").alias("seeds"), F.lit(k).alias("of")) for k in KINDS])
-    able = counted.withColumn("best", F.array_max(kinds)).where(F.col("best.seeds") >= support).select("pattern", "n", F.col("best.of").alias("of"), F.col("best.seeds").alias("seeds"))
-    graph = written(spark, edges.join(able, "pattern"), "pii-edges")
-    scores = graph.select("pattern", "of", "n", (F.col("seeds") / (F.col("n") + 1)).alias("score")).distinct()
-    for _ in range(rounds):
-        reach = graph.where(F.col("kind").isNull()).join(scores.select("pattern", "score"), "pattern")
-        found = reach.groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("p"))
-        gained = graph.where(F.col("kind").isNull()).join(found, ["instance", "of"]).groupBy("pattern").agg(F.sum("p").alias("gain"))
-        scores = graph.select("pattern", "of", "n", "seeds").distinct().join(gained, "pattern", "left").select("pattern", "of", "n", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0)) * F.col("seeds") / F.col("n")) / (F.col("n") + 1)).alias("score"))
-        scores = written(spark, scores, "pii-scores")
-    trusted = scores.where(F.col("score") >= sure).select("pattern", "of", "score")
-    spans = seen.where(F.col("kind").isNull()).join(trusted, "pattern")
-    return spans.groupBy("row", "start", "end").agg(F.max_by("of", F.struct("score", "of")).alias("of")).select("row", F.concat(F.lit("ctx_"), "of").alias("kind"), "start", "end")
+    edges = written(spark, edges, "pii-edges")
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    graph = written(spark, edges.join(size, "pattern").select("pattern", "instance", "n"), "pii-patterns")
+    known = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("of")).select("instance", "of", F.lit(ONE).cast("bigint").alias("p"))
+    known = written(spark, known, "pii-known")
+    trusted = None
+    while True:
+        scores = graph.join(known, "instance").groupBy("pattern", "of").agg(F.count("*").alias("some"), F.max("n").alias("n"), (F.sum("p") / (F.max("n") + 1)).cast("bigint").alias("score"))
+        new = scores.where((F.col("some") >= support) & (F.col("score") >= int(sure * ONE)) & (least_share(F.col("some"), F.col("n")) >= share)).groupBy("pattern").agg(F.max(F.struct("score", "of")).alias("best")).select("pattern", "best.of", "best.score")
+        new = written(spark, new if trusted is None else new.join(trusted, "pattern", "left_anti"), "pii-trusted")
+        if new.isEmpty():
+            break
+        trusted = new if trusted is None else written(spark, trusted.unionByName(new), "pii-trusted")
+        found = graph.join(new, "pattern").groupBy("instance").agg(F.max(F.struct("score", "of")).alias("best")).select("instance", "best.of", F.col("best.score").alias("p"))
+        known = written(spark, known.unionByName(found.join(known, "instance", "left_anti")), "pii-known")
+    spans = seen.where(F.col("kind").isNull()).join(new if trusted is None else trusted, "pattern")
+    return spans.groupBy("row", "start", "end").agg(F.max(F.struct("score", "of")).alias("best")).select("row", F.concat(F.lit("ctx_"), "best.of").alias("kind"), "start", "end")
 
 
 def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), method: bool = True) -> DataFrame:
