@@ -9,9 +9,11 @@ demand belongs to the moment when the source's cumulative weight reaches that pl
 schedule's integral inverted gives each document its training position, and the mix is
 range-sorted by it.
 
-Running sums over a source come in two steps, over 4,096 ranges of the digest and within
-each range, so that a source of any size is spread over many tasks. Only DataFrame
+Running sums over a source come in two steps, over ranges of the digest and within each
+range, so that a source of any size is spread over many tasks: 4,096 ranges, or 16 or 256
+times as many once a source could have more than 100,000 documents in one. Only DataFrame
 functions are used, and the one table that a single task sees has a row for each source.
+Rows that repeat a key share a range, as null keys of a source do.
 
 Null text has size 0 and is never taken; null is a source of its own, after all others.
 Repeated rows are documents of their own. An empty table gives an empty mix.
@@ -75,12 +77,20 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, cap: in
     return level.withColumn("target", target).select("source", "source_size", "weight", "pieces", "target")
 
 
+def digits(rows: int, each: int = 100_000) -> int:
+    """Hexadecimal digits that name enough ranges for so many rows."""
+    n = 3
+    while rows > each * 16**n:
+        n += 1
+    return n
+
+
 def plan(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source", schedules: Sequence[Schedule] = SCHEDULES, cap: int = 3, budget: float = 1.0) -> DataFrame:
     """The row as a struct `__row`, size, source_size, target, taken, times (passes that take any of it) and the positions of these."""
-    names = df.columns
+    names, wide = df.columns, digits(df.count())
     rows = df.select(F.struct(*[df[c] for c in names]).alias("__row"), size.alias("size"), df[source].alias("__source"), df[key].alias("__key"))
-    rows = rows.withColumn("__digest", F.md5(F.coalesce(F.col("__key").cast("string"), F.lit("")).cast("binary"))).withColumn("__range", F.substring("__digest", 1, 3))
-    narrow = df.select(df[source].alias("source"), size.alias("size"), F.substring(F.md5(F.coalesce(df[key].cast("string"), F.lit("")).cast("binary")), 1, 3).alias("range"))
+    rows = rows.withColumn("__digest", F.md5(F.coalesce(F.col("__key").cast("string"), F.lit("")).cast("binary"))).withColumn("__range", F.substring("__digest", 1, wide))
+    narrow = df.select(df[source].alias("source"), size.alias("size"), F.substring(F.md5(F.coalesce(df[key].cast("string"), F.lit("")).cast("binary")), 1, wide).alias("range"))
     ranges = narrow.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))

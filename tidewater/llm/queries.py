@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import ann, bpe, chat, langid, lz, mixing, ngram_join, pii, token_counts, warc
-from tidewater.llm.common import table, work_dir
+from tidewater.llm.common import table, work_dir, written
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range-sorted by the position at which a document is first taken; documents that are not taken have none."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_words"))
+    """Range-sorted by the position at which a document is first taken; documents that are not taken have none, and are sorted by a hash."""
+    docs = written(spark, table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_words")), "words")
     planned = mixing.plan(docs, F.col("n_words"))
     first = planned.select("__row.doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
-    return first.repartitionByRange("position").sortWithinPartitions("position")
+    order = ["position", F.xxhash64("doc_id", "size")]
+    return first.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
