@@ -7,13 +7,16 @@ sample of labelled rows (`most`), by one task that gets counts by bucket; the dr
 gets the model. About a fifth of the sample is held back to calibrate a temperature and two
 rejections:
 
-* by the score, below nine tenths of the least score of a held row that is predicted right;
+* by the score, half way from chance to the least score of a held row that is predicted right
+  (but for one in a thousand);
 * by coverage, the share of the text's runs of 4 letters or spaces that stand in two or more
-  rows of the predicted language. Held rows show how much a language covers of its own
-  texts; what the other languages cover of them, and what it covers of them once their
-  letters are exchanged by a cipher, shows how much it covers of another language. The
-  limit is half way between the least of the former (but for one row in 200) and all but a
-  hundredth of the latter. A short text is given its sampling error.
+  of the rows learned from, whatever their language, so that a text of several of them is
+  kept. Held rows show how much of a text of these languages is covered; what the other
+  languages cover of them (runs that are in a language's rows at least a twentieth as often
+  as in any's, as rows may hold passages of another language), and what is covered of them
+  once their letters are exchanged by a cipher, shows how much is of another. The limit is
+  half way from the latter (all but a twentieth) to the least of the former (but for one in
+  200). A short text is given its sampling error.
 
 Null text and text without a letter are `und` with score 0 and rejected. With no labelled
 row, nothing is learned and all rows are `und` and rejected. Ties go to the language that
@@ -83,14 +86,13 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
-    known: np.ndarray | None = None  # of each hashed run: a bit for each language
+    known: np.ndarray | None = None  # a bit for each hashed run
     covered: float = 0.0
 
-    def strange(self, texts: list[bytes], langs: np.ndarray) -> np.ndarray:
-        """Texts of which these languages cover too little."""
+    def strange(self, texts: list[bytes]) -> np.ndarray:
+        """Texts of which too little is covered."""
         found, some, starts = runs(texts)
-        of = np.repeat(langs, np.diff(np.append(starts, len(found))))
-        hit = some & (self.known[found, of >> 3] >> (of & 7) & 1).astype(bool)
+        hit = some & (self.known[found >> 3] >> (found & 7) & 1).astype(bool)
         n = np.add.reduceat(some, starts, dtype=np.int64)
         share = np.add.reduceat(hit, starts, dtype=np.int64) / np.maximum(n, 1)
         return (n > 0) & (share + 1 / np.sqrt(np.maximum(n, 1)) < self.covered)
@@ -149,7 +151,10 @@ def train(rows: list[Counts], labels: list[str], held: np.ndarray, words: list[C
     often = np.zeros((len(langs), 1 << RUN_BITS), np.uint16)
     for i in fit:
         often[y[i], words[i][0]] += 1
-    model.known = np.packbits(often > 1, axis=0, bitorder="little").T.copy()
+    seen = often.sum(axis=0, dtype=np.int64) > 1
+    model.known = np.packbits(seen, bitorder="little")
+    rate = often / np.maximum(np.bincount(y[fit], minlength=len(langs)), 1)[:, None]
+    typical = seen & (rate > 0) & (rate >= rate.max(axis=0) / 20)
     if len(held):
         z = np.concatenate([_dense([rows[i] for i in held[k : k + 64]]) @ model.weights + bias for k in range(0, len(held), 64)])
         right = y[held]
@@ -162,20 +167,21 @@ def train(rows: list[Counts], labels: list[str], held: np.ndarray, words: list[C
         p = model.probabilities(z)
         sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
         if len(sure):
-            model.threshold = 0.9 * float(sure[len(sure) // 1000])
+            model.threshold = (1 / len(langs) + float(sure[len(sure) // 1000])) / 2
 
-        def share(counts: Counts) -> np.ndarray:
-            return (often[:, counts[0]] > 1) @ counts[1] / counts[1].sum()
+        def share(counts: Counts, of: np.ndarray) -> float:
+            return float(of[counts[0]] @ counts[1] / counts[1].sum())
 
         own, other = [], []
         for i in held:
             if words[i][1].sum() >= 100:
-                by = share(words[i])
-                own.append(by[y[i]])
-                other += [*np.sort(np.delete(by, y[i]))[-1:], share(ciphered[i]).max()]
+                own.append(share(words[i], seen))
+                other.append(share(ciphered[i], seen))
+                if len(langs) > 1:
+                    other.append(share(words[i], np.delete(typical, y[i], axis=0).any(axis=0)))
         if own:
-            least, most = np.sort(own)[len(own) // 200], np.sort(other)[int(0.99 * len(other))]
-            model.covered = float(least + min(most, least)) / 2
+            least, most = np.sort(own)[len(own) // 200], np.sort(other)[int(0.95 * len(other))]
+            model.covered = float(min(most, least) + (least - min(most, least)) / 2)
     return model
 
 
@@ -237,7 +243,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 if model.langs:
                     p = model.probabilities(model.logits(lowered[start:end]))
                     best, score = p.argmax(axis=1), np.where(some, p.max(axis=1), 0.0)
-                    strange = model.strange(lowered[start:end], best)
+                    strange = model.strange(lowered[start:end])
                     names = [model.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
                 else:
                     score, names, strange = np.zeros(end - start), [UNKNOWN] * (end - start), np.ones(end - start, bool)
