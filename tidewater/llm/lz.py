@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.llm.common import shuffle_partitions, slices
+from tidewater.llm.common import range_of, ranges, shuffle_partitions, slices
 
 #: Hashes of a fingerprint.
 KEPT = 64
@@ -97,46 +98,41 @@ def fingerprint(text: str | None) -> str:
 
 
 def fingerprint_frame(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """All columns and the fingerprint."""
+    """All columns and the fingerprint, whose name must be new."""
+    if out in df.columns:
+        raise ValueError(f"there is a column {out}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(fingerprint, batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.string())], [*batch.schema.names, out])
 
-    schema = df.schema.add(out, "string")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def _bounds(df: DataFrame, key: str, buckets: int) -> np.ndarray:
-    """About so many values of the key that cut the table into buckets, ascending, the greatest among them. Their number is a parameter, not the table's size."""
-    n, greatest = df.agg(F.count("*"), F.max(key)).first()
-    if not n:
-        return np.zeros(0, np.int64)
-    part = min(1.0, buckets / n)
-    drawn = df.where(F.xxhash64(key).bitwiseAND((1 << 40) - 1) < int(part * (1 << 40))).select(key).distinct()
-    return np.unique(np.array([r[0] for r in drawn.collect()] + [greatest], np.int64))
-
-
-def compare_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 128_000_000) -> DataFrame:
     """For each row its fingerprint, that of its edited text, and their likeness with the next row's.
 
     The next row is that of the next smaller key (nulls last, equal keys by text); after the last comes
-    the first. Some keys cut the table into ranges, each for one task. As such a key starts its range,
-    its rows are also sent to the range before, whose last row needs them; each text is shuffled once.
+    the first. Ranges of keys of up to `most` bytes of text are for one task each; the rows of a range's
+    greatest key are also sent to the range before, whose last row needs them. Each text is shuffled once.
+    Rows of one key, null among them, are in one range.
     """
-    parts = shuffle_partitions(df.sparkSession)
     rows = df.select(F.coalesce(df[key].cast("bigint"), F.lit(LOWEST)).alias("id"), df[key].isNull().alias("no_id"), F.coalesce(df[text], F.lit("")).alias("text"))
-    bounds = _bounds(rows.select("id"), "id", 8 * parts)
+    sizes = rows.select(F.col("id").alias("at"), (F.octet_length("text") + 100).cast("bigint").alias("n"))
+    starts = ranges(sizes, most, shuffle_partitions(df.sparkSession))
+    greatest = np.zeros(len(starts), np.int64)
+    for k, at in sizes.groupBy(range_of(F.col("at"), starts).alias("k")).agg(F.max("at")).collect() if len(starts) else ():
+        greatest[k] = at
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            at = len(bounds) - 1 - np.searchsorted(bounds, ids)
-            first = np.flatnonzero(bounds[len(bounds) - 1 - at] == ids)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(ids), bool)), *batch.columns], ["bucket", "tail", *batch.schema.names])
+            at = np.searchsorted(starts, ids, side="right") - 1
+            first = np.flatnonzero(greatest[at] == ids)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.zeros(len(ids), bool)), *batch.columns], ["bucket", "tail", *batch.schema.names])
             if len(first):
                 again = batch.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([pa.array((at[first] - 1) % len(bounds)), pa.array(np.ones(len(first), bool)), *again.columns], ["bucket", "tail", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array((at[first] + 1) % len(starts), pa.int32()), pa.array(np.ones(len(first), bool)), *again.columns], ["bucket", "tail", *batch.schema.names])
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -178,5 +174,5 @@ def compare_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -
         if chunk:
             yield judge(chunk)
 
-    dealt = rows.mapInArrow(deal, "bucket bigint, tail boolean, id bigint, no_id boolean, text string")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "text").mapInArrow(run, schema)
+    dealt = rows.mapInArrow(deal, "bucket int, tail boolean, id bigint, no_id boolean, text string")
+    return dealt.repartitionById(max(1, len(starts)), "bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "text").mapInArrow(run, schema)

@@ -1,7 +1,9 @@
 """WARC archives: written in parts that don't depend on how tasks ran, and read back.
 
-Records are range-sorted by page and each range is written by one task into gzip files,
-one member for a record, a new file when one has reached its compressed size. Files are
+Records are range-sorted by page and payload digest. Where ranges end follows from the
+payloads' sizes alone (`ranges`; a page that has too much for one is cut by digest), so that
+the same pages give the same files and manifest. Each range is written by one task into gzip
+files, one member for a record, a new file when one has reached its compressed size. Files are
 written under temporary names that hold the attempt; what a task has written becomes a
 row of the manifest only if the task succeeds, so that lost or repeated attempts leave
 nothing but stray temporary files, which the commit removes. The commit renames the files
@@ -26,15 +28,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import remove, shuffle_partitions, slices
+from tidewater.llm.common import range_of, ranges, remove, shuffle_partitions, slices
 
 MANIFEST = "manifest.json"
 DATE = "2000-01-01T00:00:00Z"
+#: Bytes that count for a record besides its payload; ranges that an archive has at least.
+HEADERS, RANGES = 600, 48
 ATTEMPTS = "part int, place int, name string, records bigint, bytes bigint, sha256 string"
 
 
@@ -69,21 +75,45 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _sorted_records(df: DataFrame, key: str, url: str, html: str, least: int) -> DataFrame:
+def _sorted_records(df: DataFrame, key: str, url: str, html: str, least: int, most: int, folder: str) -> DataFrame:
     """page, url, payload, digest, keeps, is_record: range-sorted. A row that isn't a record tells which page keeps the payload of those that follow."""
     payload = F.coalesce(df[html], F.lit("")).cast("binary")
     rows = df.select(df[key].cast("bigint").alias("page"), F.coalesce(df[url].cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     # without payloads: those of which there are several, and the page that keeps each
     slim = rows.where(F.octet_length("payload") >= least).select("page", "digest")
     copies = slim.groupBy("digest").agg(F.max("page").alias("keeps"), F.count("*").alias("n")).where("n > 1 AND keeps IS NOT NULL").drop("n")
+    copies.write.parquet(f"{folder}/copies")  # a table, so that the join can split a payload of many pages
+    copies = df.sparkSession.read.schema(copies.schema).parquet(f"{folder}/copies")
     notes = slim.join(copies, "digest").distinct().select("page", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "keeps", F.lit(False).alias("is_record"))
     # a note about a page's copied payload goes right before the page: payloads are shuffled once
     every = rows.withColumn("keeps", F.lit(None).cast("bigint")).withColumn("is_record", F.lit(True)).unionByName(notes)
-    return every.repartitionByRange(shuffle_partitions(df.sparkSession), "page", "digest").sortWithinPartitions("page", "digest", "is_record", "url").select("page", "url", "payload", "digest", "keeps", "is_record")
-
-
-def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, roll: int = 256_000_000) -> list[dict]:
-    """Writes the archive and commits it; returns the manifest's files. folder: a new folder that all executors share."""
+    at = F.coalesce("page", F.lit(-(1 << 63)))
+    size = F.octet_length(F.coalesce(df[html], F.lit(""))).cast("bigint") + HEADERS
+    sizes = df.select(F.coalesce(df[key].cast("bigint"), F.lit(-(1 << 63))).alias("at"), size.alias("n"))
+    starts = ranges(sizes, most, RANGES)
+    if not len(starts):
+        return every
+    # a range above the size holds a single page
+    shards = np.ones(len(starts), np.int64)
+    total = sizes.groupBy(range_of(F.col("at"), starts).alias("range")).agg(F.sum("n").alias("n"))
+    limit = max(1, min(most, sizes.agg(F.sum("n")).first()[0] // RANGES))
+    for row in total.where(F.col("n") > limit).collect():
+        shards[row.range] = min(-(-row.n // limit), 1 << 16)
+    first = np.cumsum(shards) - shards
+
+    @F.pandas_udf("int")
+    def shard(pages: pd.Series, digests: pd.Series) -> pd.Series:
+        k = np.searchsorted(starts, pages.to_numpy(), side="right") - 1
+        part = np.array([int(d[:4], 16) for d in digests], np.int64)
+        return pd.Series(first[k] + part * shards[k] // (1 << 16))
+
+    order = ["shard", "page", "digest", "is_record", "url"]
+    dealt = every.withColumn("shard", shard(at, F.col("digest"))).repartitionById(int(shards.sum()), "shard")
+    return dealt.sortWithinPartitions(*order).select("page", "url", "payload", "digest", "keeps", "is_record")
+
+
+def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, roll: int = 256_000_000, most: int = 1_000_000_000) -> list[dict]:
+    """Writes the archive and commits it; returns the manifest's files. folder: a new folder that all executors share; roll: compressed size of a file; most: payload bytes of a range, less if that makes fewer than RANGES."""
     spark = df.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +153,7 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", ht
         columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["part", "place", "name", "records", "bytes", "sha256"])
 
-    written = _sorted_records(df, key, url, html, least).mapInArrow(run, ATTEMPTS)
+    written = _sorted_records(df, key, url, html, least, most, folder).mapInArrow(run, ATTEMPTS)
     written.write.parquet(f"{folder}/attempts")  # one attempt of each task
     return _commit(spark, folder)
 
@@ -145,6 +175,7 @@ def _commit(spark: SparkSession, folder: str) -> list[dict]:
         raise OSError(f"{folder} has a manifest already")
     remove(spark, f"{folder}/tmp")
     remove(spark, f"{folder}/attempts")
+    remove(spark, f"{folder}/copies")
     return listed
 
 
