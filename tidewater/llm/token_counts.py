@@ -1,8 +1,9 @@
 """Token counts through a cache of digests.
 
-The cache is a Parquet table (tokenizer, digest, n_tokens) in a shared folder. A run joins
-the digests of all texts to it, encodes each distinct text that is missing once, appends
-the counts and joins again. The key is the digest of the normalised content; normalising
+The cache is a Parquet table (digest, n_tokens), partitioned by tokenizer, in a shared
+folder. A run joins the digests of all texts to it, encodes each distinct text that is
+missing once, appends the counts and joins again. If there are no counts for the tokenizer
+yet, nothing is joined first; else texts only meet the digests that are missing. The key is the digest of the normalised content; normalising
 turns null into the empty text and nothing else, as any stronger form could join texts of
 different counts. The tokenizer's digest covers the library, its version and the model's
 bytes, so that another model never finds these counts.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import by_size
-from tidewater.llm.common import raw, slices
+from tidewater.llm.common import exists, raw, slices, written
 
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -71,7 +72,6 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text", keep:
     """The kept columns with n_bytes, n_tokens and over_limit. cache: folder of the cache, made if it is missing."""
     spark = df.sparkSession
     name = tokenizer_digest(path)
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)  # so that it can be read
     known = lambda: spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == name).select("digest", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +85,14 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text", keep:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), digests, pa.array(found, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     content = df.select(content_digest(df[text]).alias("digest"), F.coalesce(df[text], F.lit("")).alias("text"))
-    missing = content.join(known().select("digest"), "digest", "left_anti")
-    once = missing.mapInArrow(_first_of_each, "digest binary, text string").repartition("digest")
-    once.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-
-    counts = known().groupBy("digest").agg(F.max("n_tokens").alias("__n"))  # two runs at a time may both append a text
+    if exists(spark, f"{cache}/tokenizer={name}"):
+        missing = written(spark, content.select("digest").distinct().join(known().select("digest"), "digest", "left_anti"), "token-misses")
+        content = content.join(missing, "digest", "left_semi")
+    once = content.mapInArrow(_first_of_each, "digest binary, text string").repartition("digest")
+    once.mapInArrow(run, CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
+
+    # two runs at a time may both append a text; a table, so that the join can split a text of many rows
+    counts = written(spark, known().groupBy("digest").agg(F.max("n_tokens").alias("__n")), "token-counts")
     size = F.octet_length(F.coalesce(df[text], F.lit(""))).cast("bigint")
     rows = df.select(*[df[c] for c in keep], size.alias("__bytes"), content_digest(df[text]).alias("digest"))
     return rows.join(counts, "digest").select(*keep, F.col("__bytes").alias("n_bytes"), F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit"))
