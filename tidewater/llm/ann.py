@@ -11,8 +11,10 @@ many they are.
 
 Centres are fitted on the driver to a bounded sample (`most` vectors with the smallest
 hashes of their ids, fewer if they are long); every row is indexed. Rows are dealt by a
-hash of their ids into blocks of about `block` rows; each block meets all queries, which
-stream past it in batches, so that a task holds one block and one batch. Equal vectors
+hash of their ids into blocks; each block meets all queries, which stream past it in
+batches, so that a task holds one block and one batch. Blocks have about `block` rows until
+there is one for each shuffle partition; then they grow up to eight times that, as each more
+is another copy of all queries. Equal vectors
 of a block count once, with their smallest ids.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part,
@@ -170,7 +172,7 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
         drawn = rows.select(F.xxhash64("id").alias("h"), "id", "vector").orderBy("h", "id").limit(max(CENTRES, min(most, 4_000_000 // width)))
         sample = drawn.select("vector").toArrow().column(0).combine_chunks()
         centres = fit(sample.values.to_numpy().reshape(-1, width))
-        blocks = max(1, round(n / block))
+        blocks = max(1, min(round(n / block), max(round(n / (8 * block)), shuffle_partitions(df.sparkSession))))
         asked = valid(queries, key, vector).where(F.size("vector") == width)
         dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "vector").unionByName(
             asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(True).alias("asks"), "id", "vector")
@@ -182,7 +184,7 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, ids, vectors, ready = None, [], [], None
-            for batch in slices(batches, 256):
+            for batch in slices(batches, 128):
                 names, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
                 cuts = np.flatnonzero((np.diff(names) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(names)], strict=True):
