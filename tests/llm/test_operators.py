@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from tidewater.llm import ann, bpe, chat, langid, lz, mixing, ngram_join, pii, queries, token_counts, warc
-from tidewater.llm.common import table, work_dir
+from tidewater.llm.common import range_of, ranges, table, work_dir
 
 SMALL = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -112,6 +112,10 @@ def test_mixing_is_the_sqls(spark, tmp_path):
     assert all(r.taken <= 3 * r.size for r in out.collect())
 
 
+def test_mixing_ranges_grow_with_the_rows():
+    assert [mixing.digits(n) for n in (0, 10**6, 4 * 10**8, 5 * 10**8, 10**10)] == [3, 3, 3, 4, 5]
+
+
 def test_mixing_targets_by_simple_resharing(spark):
     sizes = {"a": 1000, "b": 10, "c": 500, "d": 1, "e": 0, None: 40}
     found = {r.source: r.target for r in mixing.targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size bigint")).collect()}
@@ -208,6 +212,62 @@ def test_ngram_large_group_of_near_copies(spark):
     assert rows(out) == brute_groups(data)
 
 
+def test_ngram_group_whose_members_do_not_link(spark, monkeypatch):
+    """A thousand texts of one template, most too far from one another; blocks are small, so that keys are cut into many."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 20)
+    draw = random.Random(16)
+    base = [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(1000):
+        text = list(base)
+        for at in draw.sample(range(150), draw.choice([0, 1, 2, 3, 4, 5, 5, 5, 6, 6, 6])):
+            text[at] = f"x{draw.randrange(300)}"
+        data.append((i, " ".join(text)))
+    made = []
+    compare = ngram_join._compare
+    monkeypatch.setattr(ngram_join, "_compare", lambda work, pairs, *rest: made.append(pairs.count()) or compare(work, pairs, *rest))
+    assert rows(ngram_join.near_groups(spark.createDataFrame(data, "doc_id bigint, text string"))) == brute_groups(data)
+    assert sum(made) < 15 * len(data)  # of half a million
+
+
+def test_ngram_sketches_bound_the_difference():
+    draw, band = np.random.default_rng(17), ngram_join.Band(8, ngram_join.Limit(85))
+    for _ in range(300):
+        u = draw.integers(0, 1 << 63, int(draw.integers(256, 511)), dtype=np.uint64)
+        gone, more = int(draw.integers(0, 60)), draw.integers(0, 1 << 63, int(draw.integers(0, 60)), dtype=np.uint64)
+        other = np.concatenate([u[gone:], more])
+        a, b = ngram_join.bits(np.concatenate([u, other]), np.array([len(u), len(other)]), band)
+        distance, differ = int(np.bitwise_count(a ^ b).sum()), gone + len(more)
+        assert distance <= differ and distance >= 0.8 * differ and (differ - distance) % 2 == 0
+
+
+def test_ngram_blocks_span_what_is_possible():
+    draw, limit = np.random.default_rng(18), ngram_join.Limit(85)
+    sketch = draw.integers(0, 4, (200, 2), dtype=np.uint64)  # distances of 0 to 4
+    n, label, chunk = np.full(200, 20), draw.integers(0, 150, 200), draw.integers(0, 2, 200)
+    for parts in (np.zeros(200, int), chunk):
+        a, b = ngram_join.possible(sketch, n, label, parts, limit, True)
+        want = {(i, j) for i in range(200) for j in range(i + 1, 200) if label[i] != label[j] and (parts is not chunk or chunk[i] != chunk[j]) and int(np.bitwise_count(sketch[i] ^ sketch[j]).sum()) <= limit.differ(20, 20)}
+        assert set(zip(a.tolist(), b.tolist())) == want
+        forest = ngram_join.possible(sketch, n, label, parts, limit, False)
+        assert len(forest[0]) < 200 and {(min(x), max(x)) for x in zip(*(f.tolist() for f in forest))} <= want
+
+        def count(pairs):
+            root = list(range(150))
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i, j in pairs:
+                root[find(label[i])] = find(label[j])
+            return len({find(x) for x in label})
+
+        assert count(zip(*forest)) == count(want)
+
+
 def test_ngram_links_are_brute_forces(spark):
     """Also between texts that already are in one component."""
     draw = random.Random(15)
@@ -240,8 +300,9 @@ def test_ngram_keys_lose_no_pair():
 def test_ngram_odd_rows_and_one_of_each(spark, odd, none):
     assert rows(ngram_join.near_groups(odd)) == brute_groups([(r[0], r[1]) for r in ODD])
     assert ngram_join.near_groups(none).count() == 0 and ngram_join.one_of_each(none).count() == 0
-    kept = ngram_join.one_of_each(odd.withColumn("label", F.lit(1)).withColumn("n", F.lit(2)))
-    assert kept.columns == [*odd.columns, "label", "n"]
+    more = ["label", "n", "__key", "__id", "row", "first_id", "nth"]
+    kept = ngram_join.one_of_each(odd.withColumns({c: F.lit(1) for c in more}))
+    assert kept.columns == [*odd.columns, *more]
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(r[0], r[1]) for r in ODD})
 
 
@@ -372,6 +433,51 @@ def test_warc_rolls_commits_and_reads_back(spark):
     assert warc.write(df.limit(0), empty) == [] and warc.read(spark, empty).count() == 0
 
 
+def test_warc_is_the_same_again(spark):
+    """However the pages are dealt; also where one page and null pages have too much for a range."""
+    draw = random.Random(20)
+    pages = [None, 7, 7, -5, 2**62, *range(300)]
+    data = [(draw.choice(pages), f"http://a/{i}", draw.choice(["x", "é", "<p>"]) * draw.randint(0, 3000)) for i in range(900)] + [(4, "u", "y" * 2000)] * 20
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    first, again = (work_dir(spark, "warc") for _ in range(2))
+    files = warc.write(df, first, roll=5_000)
+    assert len(files) > 30 and files == warc.write(df.repartition(13), again, roll=5_000)
+    out = warc.read(spark, again)
+    assert out.count() == len(data) and rows(out) == rows(warc.read(spark, first))
+
+
+def test_warc_long_records_and_lost_attempts(spark):
+    draw = random.Random(21)
+    long = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=4_000_000))
+    data = [(1, "u", long), (2, "v", "short"), (3, "w", long[:-1]), (4, "x", long)]
+    folder = work_dir(spark, "warc")
+    system, path = warc.open_folder(f"{folder}/tmp")
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/00000-00000-lost") as lost:
+        lost.write(b"half a record")  # what an attempt left that didn't succeed
+    files = warc.write(spark.createDataFrame(data, "page_id bigint, url string, html string"), folder)
+    assert sum(f["records"] for f in files) == 4
+    out = {r.page_id: r for r in warc.read(spark, folder, payloads=True).collect()}
+    assert out[3].html == long[:-1] and out[4].html == long and out[2].html == "short"
+    assert (out[1].record_type, out[1].refers_to, out[1].payload_bytes) == ("revisit", 4, len(long))
+    assert not system.get_file_info(path).is_file and system.get_file_info(path).type.name == "NotFound"
+
+
+def test_ranges_follow_the_rows(spark):
+    draw = random.Random(22)
+    data = [(draw.choice([draw.randrange(100), draw.randrange(10**15), -(2**63), 5]), draw.randint(0, 50)) for _ in range(3000)] + [(2**63 - 1, 9)]
+    df = spark.createDataFrame(data, "at bigint, n bigint")
+    starts = ranges(df, 2000)
+    assert starts.tolist() == ranges(df.repartition(9), 2000).tolist() and list(starts) == sorted(set(starts.tolist()))
+    sums, values = Counter(), {}
+    for r in df.select("at", "n", range_of(F.col("at"), starts).alias("k")).collect():
+        assert starts[r.k] <= r.at and (r.k + 1 == len(starts) or r.at < starts[r.k + 1])
+        sums[r.k] += r.n
+        values.setdefault(r.k, set()).add(r.at)
+    assert all(n <= 2000 or len(values[k]) == 1 for k, n in sums.items()) and len(sums) == len(starts)
+    assert len(ranges(df.limit(0), 10)) == 0 and len(ranges(df.limit(1), 10, 48)) == 1
+
+
 # --- 8: personal data -----------------------------------------------------------------------
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -429,6 +535,74 @@ def test_pii_contexts(text, value, want):
     assert pii.contexts(text, a, a + len(value)) == want
 
 
+def brute_bootstrap(texts, support=5, sure=0.6, share=0.55):
+    """All spans that patterns find, by simple rounds."""
+    places, edges, kinds = [], {}, {}
+    for text in texts:
+        base = pii.base_spans(text)
+        for kind, a, b, whole in [*((*s, True) for s in base), *((None, *s) for s in pii.candidates(text, base))]:
+            value = text[a:b].lower()
+            if kind:
+                kinds[value] = max(kind, kinds.get(value, kind))
+            for c in pii.contexts(text, a, b):
+                if whole:
+                    edges.setdefault(c, set()).add(value)
+                if kind is None:
+                    places.append((text, a, b, c))
+    known, trusted = {v: (10**6, k) for v, k in kinds.items() if any(v in e for e in edges.values())}, {}
+    while True:
+        new = {}
+        for pattern, values in edges.items():
+            n, found = len(values), {}
+            for v in values:
+                if v in known:
+                    found.setdefault(known[v][1], []).append(known[v][0])
+            able = []
+            for kind, ps in found.items():
+                p, z2 = len(ps) / n, 1.96**2
+                low = (p + z2 / (2 * n) - (z2 * (p * (1 - p) / n + z2 / (4 * n * n))) ** 0.5) / (1 + z2 / n)
+                if len(ps) >= support and sum(ps) // (n + 1) >= sure * 10**6 and low >= share:
+                    able.append((sum(ps) // (n + 1), kind))
+            if able and n >= support and pattern not in trusted:
+                new[pattern] = max(able)
+        if not new:
+            break
+        trusted |= new
+        for v in {v for p in new for v in edges[p]} - known.keys():
+            known[v] = max(s for p, s in new.items() if v in edges[p])
+    spans = {}
+    for text, a, b, c in places:
+        if c in trusted:
+            spans.setdefault((text, a, b), []).append(trusted[c])
+    return Counter((hashlib.sha256(t.encode()).hexdigest()[:32], f"ctx_{max(s)[1]}", a, b) for (t, a, b), s in spans.items())
+
+
+def test_pii_bootstrap_is_brute_forces(spark):
+    draw = random.Random(19)
+    lead = ["write to", "call me at", "my login:", "the code", "pay with", "ask for", "sent by"]
+    data = []
+    for i in range(1500):
+        k = draw.randrange(len(lead))
+        value = [f"u{i % 90}@mail.example.com", f"+1 555 010 {1000 + i % 80}", f"name_{1000 + i % 60}", f"k{10000 + draw.randrange(400)}", f"10.0.{i % 9}.{i % 200}", f"name_{1000 + draw.randrange(90)}", f"u{i % 90}@mail.example.com"]
+        data.append(f"{draw.choice(['so', 'then', 'a b'])} {lead[k] if draw.random() < 0.9 else draw.choice(lead)} {value[k] if draw.random() < 0.8 else draw.choice(value)} {draw.choice(['', 'now', '. ok', 'or not'])}")
+    df = spark.createDataFrame([(x,) for x in data + [None, ""]], "text string")
+    want = brute_bootstrap(sorted(set(data)))
+    assert want and rows(pii.bootstrap(df)) == want
+    assert rows(pii.bootstrap(df.repartition(7))) == want
+
+
+def test_pii_values_found_lead_to_further_patterns(spark):
+    names = [f"name_{1000 + i}" for i in range(10)]
+    data = [f"Some text. my contact mail: user{i}@mail.example.com is mine" for i in range(30)]
+    data += [f"Other text. my contact mail: {v} is mine" for v in names]
+    data += [f"And then the backup login id: {v} was made" for v in names]
+    data += ["And then the backup login id: unseen_987654 was made", "It cost 123456 in all", "the room 20199 then"]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")).collect()}
+    at = data[50].index("unseen")
+    assert found[50] == f"ctx_email:{at}:{at + 13}" and found[51] == found[52] == ""
+    assert all(found[i].startswith("ctx_email:") for i in range(30, 50))
+
+
 def test_pii_finds_what_only_follows(spark):
     data = [(i, f"user{i}@mail.example.com is their address {i}") for i in range(40)] + [(100 + i, f"eve_{12345 + i} is her name") for i in range(3)]
     found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
@@ -463,6 +637,21 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in out) and sum(r.rejected for r in out) < 0.01 * len(out)
 
 
+@pytest.mark.parametrize("learned", [["de", "en", "es", "fr"], ["de", "en", "fr"], ["en", "fr"], ["en"]])
+def test_language_rejects_what_it_has_not_learned(spark, learned):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = langid.fit(docs.where(F.col("lang").isin(learned) & ~langid.held_out(F.col("doc_id"))))
+    held = docs.where(langid.held_out(F.col("doc_id")))
+    out = langid.predict(held.select("lang", "text", F.lit(1).alias("rejected_before")), model, keep=("lang", "rejected_before")).collect()
+    right = [r for r in out if r.lang == r.lang_pred]
+    assert len(right) > 1000 and sum(r.rejected for r in right) <= 0.001 * len(right)
+    if len(learned) > 1:
+        unseen = [r for r in out if r.lang not in learned]
+        assert sum(r.rejected for r in unseen) >= 0.97 * len(unseen)
+    others = ["これは日本語の文章です。今日は天気がいいので散歩に行きました。", "Это русский текст, который написан для проверки определения языка.", "asdkjh qwoieu zmxncb qpwoei alskdj zxmcnb qweoiu asdlkj xcvmnb"]
+    assert all(r.rejected for r in langid.predict(spark.createDataFrame([(i, x) for i, x in enumerate(others)], "doc_id bigint, text string"), model).collect())
+
+
 def test_language_odd_rows(spark, docs, odd, none):
     model = langid.fit(docs)
     found = langid.predict(odd, model, keep=("text",)).collect()
@@ -518,6 +707,35 @@ def test_likeness_is_the_sets_for_small_ones():
         assert lz.likeness(s[:1], s[1:])[0] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
 
 
+def brute_fingerprint(text):
+    """From the phrases themselves: each one's hash from that of its prefix, as 64-bit integers."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 & full
+        return (x ^ x >> 27) * 0x81DADEF4BC2DD44D & full
+
+    hashes = {}
+    for phrase in sorted(brute_phrases(text.encode()), key=len):
+        last = phrase[-1] + 1
+        hashes[phrase] = mixed((hashes[phrase[:-1]] * 257 + last if len(phrase) > 1 else last) & full)
+    return "".join(f"{h:08x}" for h in sorted({h >> 32 for h in hashes.values()})[:64])
+
+
+def brute_likeness(a, b):
+    x, y = ({f[i : i + 8] for i in range(0, len(f), 8)} for f in (a, b))
+    least = sorted(x | y)[:64]
+    return sum(h in x and h in y for h in least) / len(least) if least else 1.0
+
+
+def test_fingerprint_column(spark, odd):
+    out = lz.fingerprint_frame(odd.withColumn("id", F.lit(1)))
+    assert out.columns == [*odd.columns, "id", "fingerprint"]
+    assert rows(out.select("text", "fingerprint")) == Counter((r[1], lz.fingerprint(r[1])) for r in ODD)
+    with pytest.raises(ValueError):
+        lz.fingerprint_frame(out)
+
+
 def test_neighbours_in_order(spark, docs, odd, none):
     for df in (docs, odd):
         key = lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode())
@@ -527,10 +745,10 @@ def test_neighbours_in_order(spark, docs, odd, none):
             text, after = text or "", items[(k + 1) % len(items)][1] or ""
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
-            want[(i, len(text), hashlib.sha256(edited.encode()).hexdigest(), lz.fingerprint(text), lz.fingerprint(edited))] += 1
-        out = lz.compare_neighbours(df)
-        assert rows(out.drop("near_edited", "near_next")) == want
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out.collect())
+            a, b, c = map(brute_fingerprint, (text, edited, after))
+            want[(i, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, brute_likeness(a, b), brute_likeness(a, c))] += 1
+        out = lz.compare_neighbours(df, most=100_000)
+        assert rows(out) == want
     assert lz.compare_neighbours(none).count() == 0
     one = lz.compare_neighbours(docs.limit(1)).collect()
     assert len(one) == 1 and one[0].near_next == 1.0

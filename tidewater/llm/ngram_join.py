@@ -14,11 +14,16 @@ needed: what comes before the (v + 1)-th equal key of a pair is at most d change
 equal ones. The keys thus lose no link, whatever the data.
 
 Documents of one set are one node, found by a digest of the set (64 bits), and meet as
-one. In rounds each node is compared with the node of the smallest (then the largest)
-component with which it shares most keys, and linked nodes join components; at last all
-pairs of nodes that share v + 1 keys and lie in different components are compared. So a
-group of thousands of near copies costs a few comparisons a node, and none is left out
-that could join two components. Comparisons are exact, on the shingles themselves.
+one. Keys of few nodes give pairs at once, with the number of such keys that they share;
+a pair that can't share v + 1 keys even if all its other keys are shared goes. Pairs that share
+none of these share v + 1 keys of many nodes; in an order by number of nodes, one of them
+isn't among the last v of either node, so that each node leaves its last v out. What is
+left of a key of many nodes is cut into blocks, where nodes meet as bit sketches: the
+parity of the shingles in each of 32 cells a shingle that may differ. Their Hamming
+distance never exceeds the symmetric difference either, so a pair above d is none. At
+first a block only makes the pairs of its nearest spanning forest, one for a node at most;
+once these have been compared and their components joined, it makes all pairs of different
+components that are still possible. Comparisons are exact, on the shingles themselves.
 
 Texts without words have an empty set and are linked with nothing; texts with fewer words
 than a shingle have all their words as one shingle. Null text counts as empty.
@@ -32,13 +37,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import by_size
-from tidewater.llm.common import raw, shuffle_partitions, slices, work_dir
+from tidewater.llm.common import raw, remove, shuffle_partitions, slices, work_dir
 
 _BASE = 0x5DEECE66D2B3A6B5
+#: Keys of so many nodes give pairs at once; larger ones go to blocks.
+FEW = 16
+#: Nodes of a block.
+BLOCK = 2048
+MOST_CELLS = 1 << 16
+#: Members that meet one copy of their centre.
+MEMBERS = 256
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -75,6 +87,11 @@ class Band:
         """v: keys that a pair shares beyond the first. Many, so that texts that only share a passage don't share enough."""
         return self.limit.differ(self.top, self.top) // 4
 
+    @property
+    def cells(self) -> int:
+        """Bits of a sketch, whole 64-bit words. Beyond MOST_CELLS the bound holds as before, but says less."""
+        return min(MOST_CELLS, -(-32 * (self.limit.differ(self.top, self.top) + 1) // 64) * 64)
+
     @property
     def segments(self) -> int:
         need = self.limit.differ(self.top, self.top) + 1 + self.spare
@@ -149,7 +166,16 @@ def keys(hashes: np.ndarray, sizes: np.ndarray, band: Band) -> tuple[np.ndarray,
     few = good.sum(axis=1, keepdims=True) < need
     sent = few | (good & (np.cumsum(good, axis=1) <= need))
     row, segment = np.nonzero(sent)
-    return mix(value[row, segment] + np.uint64(band.low), 23) * np.uint64(2 * wide + 1) + segment.astype(np.uint64), row
+    key = mix(value[row, segment] + np.uint64(band.low), 23) * np.uint64(2 * wide + 1) + segment.astype(np.uint64)
+    return key & ~np.uint64(63) | np.uint64(band.low), row  # the last six bits tell the band
+
+
+def bits(hashes: np.ndarray, sizes: np.ndarray, band: Band) -> np.ndarray:
+    """Parity of the shingles in each cell, for sets that are all in the band; a row of 64-bit words for each."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    cell = of * band.cells + (mix(hashes, 31) % np.uint64(band.cells)).astype(np.int64)
+    odd = np.bincount(cell, minlength=len(sizes) * band.cells).reshape(len(sizes), band.cells) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.uint64)
 
 
 def _flat_keys(hashes: np.ndarray, sizes: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +207,25 @@ class _Work:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, work_dir(spark, "ngram-join"), 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n:03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def tidy(self) -> None:
-        """Shuffle files go once the driver has collected its garbage."""
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def only(self, *tables: DataFrame) -> None:
+        """Removes all other tables; shuffle files go once the driver has collected its garbage."""
+        kept = []
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                kept.append((table, path))
+            else:
+                remove(self.spark, path)
+        self.tables = kept
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -200,7 +236,7 @@ def components(work: _Work, links: DataFrame, label: DataFrame | None = None) ->
     Each vertex joins its smallest neighbour, and edges are contracted to what then still lies between
     vertices, so that each round has less to do.
     """
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     fresh = ends if label is None else ends.join(label, "node", "left_anti")
     fresh = fresh.select("node", F.col("node").alias("label"))
     label = work.put(fresh if label is None else label.unionByName(fresh), "labels")
@@ -213,7 +249,7 @@ def components(work: _Work, links: DataFrame, label: DataFrame | None = None) ->
 
     edges = contract(links.select("a", "b"), label.select(F.col("node").alias("v"), F.col("label").alias("low")))
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = work.put(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("low")), "lows")
         label = work.put(label.join(low, F.col("label") == F.col("v"), "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
         edges = contract(edges, low)
@@ -221,95 +257,83 @@ def components(work: _Work, links: DataFrame, label: DataFrame | None = None) ->
 
 
 def _compare(work: _Work, pairs: DataFrame, texts: DataFrame, words: int, limit: Limit) -> DataFrame:
-    """pairs: a, b. texts: node, text. Returns a, b, linked. Each text goes to where its partners' centre is."""
+    """pairs: a, b. texts: node, text. Returns a, b, linked. Members go to where their centre a is, to one of several copies of it if they are many."""
     parts = shuffle_partitions(work.spark)
-    sent = pairs.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("member")).unionByName(pairs.select(F.col("a").alias("centre"), F.col("a").alias("node"), F.lit(False).alias("member")).distinct())
-    rows = texts.join(sent, "node").select("centre", "member", "node", "text")
+    many = pairs.groupBy("a").agg(F.count("*").alias("members"))
+    dealt = work.put(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)).alias("copy")), "dealt")
+    sent = dealt.select("a", "copy", F.col("b").alias("node"), F.lit(True).alias("member")).unionByName(dealt.select("a", "copy", F.col("a").alias("node"), F.lit(False).alias("member")).distinct())
+    rows = texts.join(sent, "node").select("a", "copy", "member", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, base = None, set()
         for batch in slices(batches, 128):
             a, b, linked = [], [], []
-            for centre, member, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw(batch.column(3)), strict=True):
+            for centre, copy, member, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), raw(batch.column(4)), strict=True):
                 own = shingles(text, words)
                 if not member:
-                    now, base = centre, own
-                elif now == centre:
+                    now, base = (centre, copy), own
+                elif now == (centre, copy):
                     shared = len(base & own)
                     a.append(centre)
                     b.append(node)
                     linked.append(100 * shared >= limit.percent * (len(base) + len(own) - shared))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return rows.repartition(parts, "centre").sortWithinPartitions("centre", "member").mapInArrow(run, "a bigint, b bigint, linked boolean").distinct()
-
-
-def _apart(texts: DataFrame, chosen: DataFrame, words: int, limit: Limit) -> DataFrame:
-    """Nodes that can't link with any other chosen one, as too many of their shingles are in no other."""
+    return work.put(rows.repartition(parts, "a", "copy").sortWithinPartitions("a", "copy", "member").mapInArrow(run, "a bigint, b bigint, linked boolean"), "compared")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in slices(batches):
-            values = raw(batch.column(1))
-            for start, end in by_size(values):
-                hashes, sizes = shingler.sets(values[start:end])
-                of = np.repeat(batch.column(0).slice(start, end - start).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(of), pa.array(np.repeat(sizes, sizes))], ["hash", "node", "n"])
-
-    found = texts.join(chosen, "node").select("node", "text").mapInArrow(run, "hash bigint, node bigint, n bigint")
-    alone = found.groupBy("hash").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n")).where("nodes = 1")
-    return alone.groupBy("node").agg(F.count("*").alias("alone"), F.min("n").alias("n")).where(100 * (F.col("n") - F.col("alone")) < limit.percent * F.col("n")).select("node")
 
-
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, rounds: int = 2) -> DataFrame:
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
-    found = _grouped(df, key, text, words, percent, rounds)
+    found = _grouped(df, key, text, words, percent)
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, rounds: int = 2) -> DataFrame:
-    """The rows of df, of each group only the one with the smallest key (of equal keys that with the smallest digest of its text). Texts without words are no group and stay, but for repeated rows."""
-    found = _grouped(df, key, text, words, percent, rounds)
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of df, of each group only the one with the smallest key (of equal keys that with the smallest digest of its text). Texts without words are no group and stay, but for repeated rows. Columns may have any names."""
+    found = _grouped(df, key, text, words, percent)
     chosen = found.where((F.col("n") > 0) & F.col("id").eqNullSafe(F.col("least"))).groupBy("label").agg(F.min(F.struct("id", "text_key")).alias("first")).select("first.*")
     chosen = chosen.unionByName(found.where("n = 0").select("id", "text_key").distinct())
-    chosen = chosen.select(F.col("id").alias("__id"), F.col("text_key").alias("__text_key"))
-    rows = df.withColumn("__key", F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))))
-    kept = rows.join(chosen, rows[key].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")))
-    once = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__text_key").orderBy(F.lit(0))))
-    return once.where("__nth = 1").select(*df.columns)
+    chosen = chosen.select(F.col("id").alias("first_id"), F.col("text_key").alias("first_key"))
+    rows = df.select(df[key].cast("bigint").alias("id"), F.xxhash64(_content(df, text)).alias("text_key"), F.struct(*[df[c] for c in df.columns]).alias("row"))
+    kept = rows.join(chosen, rows["id"].eqNullSafe(chosen["first_id"]) & (rows["text_key"] == chosen["first_key"]))
+    once = kept.withColumn("nth", F.row_number().over(Window.partitionBy("first_id", "first_key").orderBy(F.lit(0))))
+    return once.where("nth = 1").select("row.*")
 
 
 def near_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """key and n_links, the number of other rows that each row links with, exactly. Compares all pairs of nodes that share enough keys, so a group of near copies costs the square of its different sets; equal sets are counted, not compared."""
-    work, limit, described, active, texts = _prepared(df, key, text, words, percent)
-    x, y = active.alias("x"), active.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.votes", "y.votes")).alias("votes")).where(F.col("shared") >= F.col("votes")).select("a", "b")
-    linked = work.put(_compare(work, work.put(pairs, "pairs"), texts, words, limit), "compared").where("linked")
+    """key and n_links, the number of other rows that each row links with, exactly. Equal sets are counted, not compared; of different sets all links are found, so a group of near copies costs the square of its different sets."""
+    work, limit, described, rows, texts = _prepared(df, key, text, words, percent)
+    pairs = _pairs_of_few(work, rows)
+    hot = _sketched(work, rows, texts, words, limit)
+    pairs = work.put(pairs.unionByName(_pairs_of_many(hot, None, limit, True)).distinct(), "pairs")
+    linked = _compare(work, pairs, texts, words, limit).where("linked")
     copies = work.put(described.groupBy("node").agg(F.count("*").alias("copies")), "copies")
-    ends = linked.select(F.col("a").alias("of"), F.col("b").alias("node")).unionByName(linked.select(F.col("b").alias("of"), F.col("a").alias("node")))
+    ends = linked.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("node")), F.struct(F.col("b").alias("of"), F.col("a").alias("node")))).alias("e")).select("e.*")
     others = ends.join(copies, "node").groupBy(F.col("of").alias("node")).agg(F.sum("copies").alias("others"))
     counted = described.join(copies, "node").join(others, "node", "left")
-    return counted.select(F.col("id").alias(key), F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("n_links"))
+    out = work.put(counted.select("id", F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("n_links")), "links")
+    work.only(out)
+    return out.select(F.col("id").alias(key), "n_links")
 
 
-def _between(found: DataFrame, what: str) -> DataFrame:
-    """Keys that hold more than one value of the column."""
-    return found.withColumn("low", F.min(what).over(Window.partitionBy("key"))).withColumn("high", F.max(what).over(Window.partitionBy("key"))).where("low < high").drop("low", "high")
+def _content(df: DataFrame, text: str) -> Column:
+    return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
-def _enough(found: DataFrame, what: str) -> DataFrame:
-    """A node must share as many keys with others as a link needs; others can't link."""
+def _useful(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that have as many keys as a link needs, and of keys that then still hold more than one node."""
     for _ in range(2):
-        found = _between(found.withColumn("own", F.count("*").over(Window.partitionBy("node"))).where("own >= votes").drop("own"), what)
-    return found
+        own = rows.groupBy("node").agg(F.count("*").alias("own"), F.max("votes").alias("needs")).where("own >= needs").select("node")
+        rows = rows.join(own, "node", "left_semi")
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key"), "key", "left_semi")
+    return rows
 
 
 def _prepared(df: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[_Work, Limit, DataFrame, DataFrame, DataFrame]:
-    """Rows described by id, text_key, node and n; keys that nodes share; a text of each of these nodes."""
+    """Rows described by id, text_key, node and n; keys that nodes share, with the number of their nodes; a text of each of these nodes."""
     spark, limit = df.sparkSession, Limit(percent)
     work = _Work(spark)
-    content = F.coalesce(df[text].cast("string"), F.lit(""))
+    content = _content(df, text)
     rows = df.select(df[key].cast("bigint").alias("id"), F.xxhash64(content).alias("text_key"), content.alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,58 +364,155 @@ def _prepared(df: DataFrame, key: str, text: str, words: int, percent: int) -> t
 
     described = work.put(rows.mapInArrow(describe, "id bigint, text_key bigint, node bigint, n bigint"), "documents")
     dealt = rows.select("text").mapInArrow(emit, "key bigint, node bigint, votes bigint")
-
-    shared = work.put(_between(dealt, "node").distinct(), "shared")
-    active = work.put(_enough(shared, "node"), "keys")
-    work.tidy()
+    same = Window.partitionBy("key")
+    between = dealt.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low < high").drop("low", "high")
+    shared = work.put(between.distinct(), "shared")
+    work.only(described, shared)
+    active = work.put(_useful(shared), "keys")
+    members = work.put(active.groupBy("key").agg(F.count("*").alias("members")), "members")
+    counted = work.put(active.join(members, "key"), "counted")
+    work.only(described, counted)
 
     # texts of nodes that share a key, one for each
     first = described.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("first")).select("node", "first.id", "first.text_key")
-    wanted = first.join(active.select("node").distinct(), "node")
+    wanted = first.join(counted.select("node").distinct(), "node")
     texts = work.put(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["text_key"] == wanted["text_key"])).select("node", "text").dropDuplicates(["node"]), "texts")
-    work.tidy()
+    work.only(described, counted, texts)
+    return work, limit, described, counted, texts
 
-    return work, limit, described, active, texts
 
+def _pairs_of_few(work: _Work, rows: DataFrame) -> DataFrame:
+    """a, b: pairs that share keys of few nodes, and could share as many keys as a link needs."""
+    few = rows.where(F.col("members") <= FEW).select("key", "node", "votes")
+    hot = rows.where(F.col("members") > FEW).groupBy("node").agg(F.count("*").alias("hot"))
+    x, y = few.alias("x"), few.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.votes", "y.votes")).alias("votes"))
+    for end in ("a", "b"):
+        met = met.join(hot.select(F.col("node").alias(end), F.col("hot").alias(f"hot_{end}")), end, "left")
+    return met.where(F.col("shared") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= F.col("votes")).select("a", "b")
 
-def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int, rounds: int) -> DataFrame:
-    """id, text_key, n, label, least of each row."""
-    spark = df.sparkSession
-    work, limit, described, active, texts = _prepared(df, key, text, words, percent)
-    label, tested = None, None
-    for turn in range(rounds + 1):
-        marked = active.withColumn("label", F.col("node")) if label is None else active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = _between(marked, "label").select("key", "node", "votes", "label")
-        if turn < rounds:
-            end = F.min if turn % 2 == 0 else F.max
-            star = spread.withColumn("centre", end(F.struct("label", "node")).over(Window.partitionBy("key"))).where(F.col("centre.label") != F.col("label"))
-            pairs = star.groupBy(F.col("centre.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.min("votes").alias("votes")).where(F.col("shared") >= F.col("votes"))
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+
+def _sketched(work: _Work, rows: DataFrame, texts: DataFrame, words: int, limit: Limit) -> DataFrame:
+    """Of the keys of many nodes, without each node's last v: key, members, node, n, sketch."""
+    ranked = rows.where(F.col("members") > FEW).withColumn("left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("members"), F.desc("key"))))
+    kept = ranked.where(F.col("left") >= F.col("votes")).groupBy("node").agg(F.collect_list(F.struct("key", "members")).alias("keys"))  # a document's own keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in slices(batches, 128):
+            values = raw(batch.column(1))
+            for start, end in by_size(values):
+                hashes, sizes = shingler.sets(values[start:end])
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                node, lists = batch.column(0).slice(start, end - start).to_numpy(), batch.column(2).slice(start, end - start)
+                flat = lists.flatten()
+                key, members = flat.field("key").to_numpy(), flat.field("members").to_numpy()
+                row = np.repeat(np.arange(len(sizes)), lists.value_lengths().to_numpy())
+                for low in np.unique(key & 63).tolist():
+                    at = np.flatnonzero(key & 63 == low)
+                    sets, place = np.unique(row[at], return_inverse=True)
+                    inside = np.zeros(len(sizes), bool)
+                    inside[sets] = True
+                    sketch = bits(hashes[inside[of]], sizes[sets], Band(low, limit))
+                    step = max(1, 8_000_000 // sketch[0].nbytes)
+                    for k in range(0, len(at), step):
+                        now = at[k : k + step]
+                        sent = sketch[place[k : k + step]]
+                        ends = pa.array(np.arange(len(now) + 1, dtype=np.int32) * sent[0].nbytes)
+                        packed = pa.Array.from_buffers(pa.binary(), len(now), [None, ends.buffers()[1], pa.py_buffer(sent.tobytes())])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[now]), pa.array(members[now]), pa.array(node[row[now]]), pa.array(sizes[row[now]], pa.int64()), packed], ["key", "members", "node", "n", "sketch"])
+
+    return work.put(texts.join(kept, "node").select("node", "text", "keys").mapInArrow(run, "key bigint, members bigint, node bigint, n bigint, sketch binary"), "sketches")
+
+
+def possible(sketch: np.ndarray, n: np.ndarray, label: np.ndarray, chunk: np.ndarray, limit: Limit, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block whose Hamming distance allows a link, between labels (and, if there are two chunks, between these): all of them, or those of a spanning forest of the nearest."""
+    g, across = len(n), len(np.unique(chunk)) > 1
+    step = max(1, 2_000_000 // (g * sketch.shape[1]))
+    far = np.full((g, g), np.inf, np.float32) if not every else None
+    out = [np.zeros((0, 2), np.int64)]
+    for a in range(0, g, step):
+        z = min(g, a + step)
+        most = (100 - limit.percent) * (n[a:z, None] + n[None]) // (100 + limit.percent)
+        distance = np.bitwise_count(sketch[a:z, None] ^ sketch[None]).sum(axis=2, dtype=np.int32)
+        fine = (distance <= most) & (label[a:z, None] != label[None])
+        if across:
+            fine &= chunk[a:z, None] != chunk[None]
+        if every:
+            i, j = np.nonzero(fine)
+            out.append(np.stack([i + a, j], axis=1)[i + a < j])
         else:
-            kept = work.put(_enough(spread, "label"), "rest")
-            if not kept.isEmpty():
-                kept = work.put(_enough(kept.join(_apart(texts, kept.select("node").distinct(), words, limit), "node", "left_anti"), "label"), "rest")
-            x, y = kept.alias("x"), kept.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-            pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.votes", "y.votes")).alias("votes")).where(F.col("shared") >= F.col("votes")).select("a", "b")
-            if tested is not None:
-                done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = work.put(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        found = work.put(_compare(work, pairs, texts, words, limit), "compared")
-        tested = found if tested is None else tested.unionByName(found)
-        new = found.where("linked").select("a", "b")
-        if not new.isEmpty():
-            label = components(work, new, label)
-        work.tidy()
-
-    label = label if label is not None else spark.createDataFrame([], "node bigint, label bigint")
+            far[a:z] = np.where(fine, (distance + 1) / (most + 1), np.inf)
+            far[a:z][label[a:z, None] == label[None]] = 0
+    if every:
+        found = np.concatenate(out)
+        return found[:, 0], found[:, 1]
+    a, b = [], []
+    away, by, free = np.full(g, np.inf, np.float32), np.zeros(g, np.int64), np.ones(g, bool)
+    for _ in range(g):  # Prim's algorithm
+        k = int(np.where(free, away, np.inf).argmin())
+        if not free[k] or away[k] == np.inf:
+            k = int(free.argmax())
+        elif away[k] > 0:
+            a.append(by[k])
+            b.append(k)
+        free[k] = False
+        nearer = free & (far[k] < away)
+        away[nearer], by[nearer] = far[k][nearer], k
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _pairs_of_many(hot: DataFrame, label: DataFrame | None, limit: Limit, every: bool) -> DataFrame:
+    """a < b: pairs of different labels that blocks of keys of many nodes find possible."""
+    marked = hot.withColumn("label", F.col("node")) if label is None else hot.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chunks = F.ceil(F.col("members") / BLOCK)
+    cut = marked.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    cut = cut.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "label", "n", "sketch")
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        chunk, node, names, n = (table.column(k).to_numpy() for k in range(3, 7))
+        a = b = np.zeros(0, np.int64)
+        if len(np.unique(names)) > 1:
+            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(len(n), -1)
+            a, b = possible(sketch, n, names, chunk, limit, every)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in slices(batches, 4096):
+            place = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                if parts and now != tuple(place[a]):
+                    yield block(parts)
+                    parts = []
+                now = tuple(place[a])
+                parts.append(batch.slice(a, z - a))
+        if parts:
+            yield block(parts)
+
+    return cut.repartition(shuffle_partitions(hot.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """id, text_key, n, label, least of each row."""
+    work, limit, described, rows, texts = _prepared(df, key, text, words, percent)
+    few = work.put(_pairs_of_few(work, rows), "pairs")
+    hot = _sketched(work, rows, texts, words, limit)
+    work.only(described, texts, few, hot)
+    pairs = work.put(few.unionByName(_pairs_of_many(hot, None, limit, False)).distinct(), "pairs")
+    tested = _compare(work, pairs, texts, words, limit)
+    work.only(described, texts, hot, tested)
+    label = components(work, tested.where("linked"))
+    left = _pairs_of_many(hot, label, limit, True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    left = work.put(left, "pairs")
+    if not left.isEmpty():
+        label = components(work, _compare(work, left, texts, words, limit).where("linked"), label)
+    work.only(described, label)
     placed = described.join(label, "node", "left").select("id", "text_key", "n", F.coalesce("label", "node").alias("label"))
-    least = placed.groupBy("label").agg(F.min("id").alias("least"))
-    return placed.join(least, "label")
+    least = work.put(placed.groupBy("label").agg(F.min("id").alias("least")), "least")  # a table, so that its join can split a large component
+    out = work.put(placed.join(least, "label"), "groups")
+    work.only(out)
+    return out
