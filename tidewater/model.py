@@ -109,6 +109,32 @@ def all_fields(schema: T.StructType) -> list[tuple[str, T.StructField]]:
     return out
 
 
+#: Fixed value: where a field keeps its name in data files.
+PHYSICAL = "delta.columnMapping.physicalName"
+
+
+def physical(kind: T.DataType) -> T.DataType:
+    """The type with the names that data files have, all nullable."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField((f.metadata or {}).get(PHYSICAL, f.name), physical(f.dataType), True) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(physical(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(physical(kind.keyType), physical(kind.valueType), True)
+    return kind
+
+
+def mapped(schema: T.StructType) -> bool:
+    """Whether data files have other names."""
+
+    def names(kind: T.DataType) -> list:
+        if isinstance(kind, T.StructType):
+            return [(f.name, names(f.dataType)) for f in kind]
+        return [names(k) for k in vars(kind).values() if isinstance(k, T.DataType)]
+
+    return names(physical(schema)) != names(schema)
+
+
 # What targets keep of the last sync. The names are read by other tools.
 KEY_INSTANT = "xtable_last_instant_synced"
 KEY_FORMAT = "xtable_source_format"

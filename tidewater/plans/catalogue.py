@@ -193,7 +193,7 @@ for _format in ("iceberg", "hudi", "paimon"):
         return scans.scan(spark, path, format).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s"))
 
 
-@query("WITH RECURSIVE e AS (SELECT event_id, (event_id * 7919) % 101 AS raw, row_number() OVER (ORDER BY event_id) AS i FROM events), c AS (SELECT i, event_id, greatest(raw, 1)::BIGINT AS t FROM e WHERE i = 1 UNION ALL SELECT e.i, e.event_id, (CASE WHEN e.raw > c.t THEN e.raw ELSE c.t + 1 END)::BIGINT FROM c JOIN e ON e.i = c.i + 1) SELECT event_id, t FROM c WHERE i <= 400")
+@query("WITH RECURSIVE e AS (SELECT event_id, (event_id * 7919) % 101 AS raw, row_number() OVER (ORDER BY event_id) AS i FROM events), c AS (SELECT i, event_id, greatest(raw, 1)::BIGINT AS t FROM e WHERE i = 1 UNION ALL SELECT e.i, e.event_id, (CASE WHEN e.raw > c.t THEN e.raw ELSE c.t + 1 END)::BIGINT FROM c JOIN e ON e.i = c.i + 1) SELECT event_id, t FROM c")
 def monotone_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 7919) % 101).alias("raw"))
     return rows.select("event_id", op.monotone(F.col("raw"), "event_id").cast("bigint").alias("t"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import paths
-from tidewater.model import FILES, TableError
+from tidewater.model import FILES, TableError, mapped, physical
 from tidewater.operators.files import prune
 from tidewater.sources import open_source
 
@@ -28,33 +32,65 @@ def scan(spark: SparkSession, path: str, format: str, version: str | None = None
     return rows_of(spark, snapshot.table.schema, snapshot.table.partition_columns, snapshot.files, where)
 
 
+#: Partitions that are read each with its values as literals, and bytes of a file list that is broadcast, where directories don't tell the values.
+FEW, SMALL = 32, 16 << 20
+
+
 def rows_of(spark: SparkSession, schema: T.StructType, partition_columns: list[str], files: DataFrame, where: Iterable[tuple[str, str, Any]] = ()) -> DataFrame:
     where = list(where)
     chosen = prune(files, schema, where).select("path", "file_format", "partition_values", F.col("dv").isNotNull().alias("deleted")).collect()  # paths are what a scan is planned from
-    plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     if any(r.deleted for r in chosen):
         raise TableError("files have deletion vectors, which scans don't apply")
     if other := {r.file_format for r in chosen} - {"PARQUET"}:
         raise TableError(f"files of format {other.pop()} aren't scanned")
+    plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     if not chosen:
         return spark.createDataFrame([], plain)
-    names = [r.path for r in chosen]
+    stored = physical(schema)
+    found = {f.name: s for f, s in zip(schema, stored, strict=True)}  # a column's field in the files
+    names = [re.sub("^file:/+", "/", r.path) for r in chosen]
+    values = [tuple((r.partition_values or {}).get(c) for c in partition_columns) for r in chosen]
+    root = _root(names)
+
+    def named(rows: DataFrame, known: dict[str, Column] | None = None) -> DataFrame:
+        """The table's columns; known: partition values, for columns that the files lack."""
+        column = lambda f: F.col(f"`{found[f.name].name}`").cast(f.dataType) if found[f.name] != plain[f.name] else F.col(f"`{f.name}`")
+        return rows.select(*[(F.coalesce(column(f), known[f.name].cast(f.dataType)) if f.name in (known or {}) else column(f)).alias(f.name) for f in plain])
+
     if not partition_columns:
-        rows = spark.read.schema(plain).parquet(*names)
+        rows = named(spark.read.schema(stored).parquet(*names))
+    elif not mapped(schema) and all(_hive(n, root) == dict(zip(partition_columns, v, strict=True)) for n, v in zip(names, values, strict=True)):
+        # directories tell the values: Spark prunes by them, and no row is joined
+        rows = spark.read.schema(plain).option("basePath", root).parquet(*names).select(*[F.col(f"`{f.name}`") for f in plain])
+    elif len(set(values)) <= FEW:
+        parts = []
+        for v in sorted(set(values), key=str):
+            read = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*[n for n, x in zip(names, values, strict=True) if x == v])
+            parts.append(named(read, {c: F.lit(x).cast("string") for c, x in zip(partition_columns, v, strict=True)}))
+        rows = reduce(DataFrame.unionAll, parts)
     else:
-        # a column of the metadata can't be read from the directory's name too, as Spark's typing may differ
-        local = [f for f in plain if f.name not in partition_columns]
-        physical = [T.StructField(f.name, f.dataType) for f in plain if f.name in partition_columns]
-        raw = spark.read.schema(T.StructType([*local, *physical])).option("basePath", _root(names)).option("recursiveFileLookup", "true").parquet(*names)
-        values = spark.createDataFrame([(r.path, r.partition_values) for r in chosen], "path string, partition_values map<string,string>").select(paths.local_form(F.col("path")).alias("__path"), "partition_values")
-        with_path = raw.withColumn("__path", paths.local_form(paths.decoded(F.col("_metadata.file_path"))))
-        joined = with_path.join(values, "__path")
-        rows = joined.select(*[F.coalesce(F.col(f.name), F.col("partition_values")[f.name].cast(f.dataType)).alias(f.name) if f.name in partition_columns else F.col(f.name) for f in plain])
+        listed = pa.table({"__path": names, "__values": pa.array([list(v) for v in values], pa.list_(pa.string()))})
+        small = spark.createDataFrame(listed)
+        small = F.broadcast(small) if listed.nbytes <= SMALL else small.hint("merge")
+        raw = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*names).withColumn("__path", paths.local_form(paths.decoded(F.col("_metadata.file_path"))))
+        rows = named(raw.join(small, "__path"), {c: F.col("__values")[i] for i, c in enumerate(partition_columns)})
     for column, op, value in where:
-        rows = rows.where(getattr(F.col(column), _OPERATORS[op])(F.lit(value)))
+        rows = rows.where(getattr(F.col(f"`{column}`"), _OPERATORS[op])(F.lit(value)))
     return rows
 
 
+def _hive(path: str, root: str) -> dict[str, str | None] | None:
+    """Values of the `k=v` directories below the root; None if a name comes twice or a value is empty, which Spark reads as null."""
+    out: dict[str, str | None] = {}
+    for part in path[len(root) :].split("/")[:-1]:
+        key, eq, value = part.partition("=")
+        if eq:
+            if unquote(key) in out or not value:
+                return None
+            out[unquote(key)] = None if value == "__HIVE_DEFAULT_PARTITION__" else unquote(value)
+    return out
+
+
 def _root(names: list[str]) -> str:
     """The deepest folder above all files that isn't a `k=v` directory."""
     parts = names[0].split("/")[:-1]

@@ -47,6 +47,9 @@ class Source(ABC):
         found = self.history()
         return bool(found) and 0 < found[0][1] <= instant
 
+    def close(self) -> None:
+        """Lets go of what the source keeps for its DataFrames."""
+
     def _no_files(self) -> DataFrame:
         return self.spark.createDataFrame([], FILES)
 

@@ -105,6 +105,7 @@ class Source(base.Source):
         rows = self.spark.createDataFrame([(f.path, f.name, f.size, f.modified) for f in found], "path string, relative string, size_bytes bigint, last_modified bigint")
         spread = rows.repartition(max(1, min(len(found), 8 * self.spark.sparkContext.defaultParallelism)))
         footers = spread.select("path").mapInArrow(_footers, _FOOTER).persist()
+        self._kept = [*getattr(self, "_kept", ()), footers]
         # one row for each different schema, from its newest file; footers themselves stay with the tasks
         seen = footers.join(rows, "path").groupBy("schema").agg(F.max(F.struct("last_modified", "path")).alias("newest"), F.min("error").alias("error")).collect()
         if bad := [r.error for r in seen if r.error]:
@@ -112,7 +113,9 @@ class Source(base.Source):
         seen.sort(key=lambda r: (-r.newest.last_modified, r.newest.path))
         schema = schemas.merge([(r.newest.path, T.StructType.fromJson(json.loads(r.schema))) for r in seen])
         values = rows.withColumn("partition_values", paths.hive_values("relative"))
-        observed = values.select(F.posexplode(F.map_keys("partition_values")).alias("pos", "key"), "partition_values").groupBy("key").agg(F.min("pos").alias("pos"), F.collect_set(F.coalesce(F.col("partition_values")[F.col("key")], F.lit(""))).alias("values")).orderBy("pos").collect()
+        each = values.select(F.posexplode(F.map_entries("partition_values")).alias("pos", "e")).select("pos", "e.key", F.coalesce("e.value", F.lit("")).alias("value"))
+        observed = each.groupBy("key", "value").agg(F.min("pos").alias("pos"))
+        observed = observed.groupBy("key").agg(F.min("pos").alias("pos"), F.collect_set("value").alias("values")).orderBy("pos").collect()
         fields = []
         for o in observed:
             there = next((f for f in schema if f.name == o["key"]), None) or next((f for f in schema if f.name.lower() == o["key"].lower()), None)
@@ -126,6 +129,11 @@ class Source(base.Source):
         files = values.join(footers, "path").select("path", F.lit("PARQUET").alias("file_format"), "size_bytes", "record_count", F.map_from_entries(pairs).alias("partition_values"), "last_modified", F.lit(None).cast(FILES["dv"].dataType).alias("dv"), F.col("stats").cast(T.MapType(T.StringType(), STAT)).alias("stats"))
         return Table(self.name, self.format, self.base, schema, tuple(fields), max(f.modified for f in found)), files
 
+    def close(self) -> None:
+        for footers in getattr(self, "_kept", ()):
+            footers.unpersist()
+        self._kept = []
+
     def history(self) -> list[tuple[str, int]]:
         newest = max(f.modified for f in self.listed())
         return [(str(newest), newest)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -67,15 +68,26 @@ class Storage:
         return self.read(relative).decode()
 
     def write(self, relative: str, data: bytes) -> None:
-        """Overwrites, for hints and properties; through a temporary name."""
+        """Overwrites, for hints and properties. Readers see the old file or the new one: it is renamed over the old one in one step; where a store can't (object stores), its upload takes one step."""
         path = self.full(relative)
         folder, _, name = path.rpartition("/")
-        temporary = f"{folder}/.{name}.tmp"
-        self._create(temporary, [data], True)
-        target = self._path(path)
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(self._path(temporary), target)
+        temporary = self._path(f"{folder}/.{name}.{uuid.uuid4().hex}.tmp")
+        try:
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        except Exception as e:
+            if "UnsupportedFileSystem" not in str(e):
+                raise
+            self._create(path, [data], True)
+            return
+        self._create(temporary.toString(), [data], True)
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        try:
+            context.rename(temporary, self._path(path), how)
+        except Exception:
+            self._fs.delete(temporary, False)
+            raise
 
     def create(self, relative: str, parts: bytes | Iterable[bytes]) -> str:
         """Creates the file, or raises Exists if there is one. Returns its path."""

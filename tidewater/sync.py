@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from tidewater.model import Change, Snapshot, TableError, parse_format
+from tidewater.model import Change, Snapshot, Table, TableError, mapped, parse_format
 from tidewater.sources import open_source, open_target
 from tidewater.sources.base import Source, Target
 
@@ -82,28 +83,48 @@ class Result:
         return "FAILED" if self.status == "ERROR" else "NO_OP" if self.no_op else "SUCCESS"
 
 
+def _named(table: Table) -> None:
+    if mapped(table.schema):
+        raise TableError(f"columns of {table.name} have other names in its files; scans read them, but other formats can't be told")
+
+
 class _Once:
-    """The source's snapshot and changes, each read once for all targets."""
+    """The source's snapshot and changes, each read once for all targets, and only if one needs it."""
 
     def __init__(self, source: Source):
-        self.source = source
+        self.source, self.error = source, None
         self._snapshot: Snapshot | None = None
         self._changes: dict[int, list[Change]] = {}
+        self._lock = threading.Lock()  # targets ask at the same time
+
+    def _read(self, read: Callable[[], Any]) -> Any:
+        try:
+            return read()
+        except Exception as e:
+            self.error = self.error or e
+            raise
 
     def snapshot(self) -> Snapshot:
-        if self._snapshot is None:
-            found = self.source.snapshot()
-            self._snapshot = replace(found, files=found.files.persist())
-        return self._snapshot
+        with self._lock:
+            if self._snapshot is None:
+                found = self._read(self.source.snapshot)
+                self._snapshot = replace(found, files=found.files.persist())
+            return self._snapshot
 
     def changes(self, instant: int) -> list[Change]:
-        if instant not in self._changes:
-            self._changes[instant] = self.source.changes_since(instant)
-        return self._changes[instant]
+        with self._lock:
+            if instant not in self._changes:
+                self._changes[instant] = self._read(lambda: self.source.changes_since(instant))
+            return self._changes[instant]
+
+    def safe_from(self, instant: int) -> bool:
+        with self._lock:
+            return self._read(lambda: self.source.safe_from(instant))
 
     def close(self) -> None:
         if self._snapshot is not None:
             self._snapshot.files.unpersist()
+        self.source.close()
 
 
 class Controller:
@@ -117,10 +138,11 @@ class Controller:
         once = _Once(source)
         targets = [f for f in dict.fromkeys(dataset.target_formats) if f != dataset.source_format]
         try:
-            if targets:
-                once.snapshot()
             with ThreadPoolExecutor(max(1, len(targets))) as pool:
-                return dict(zip(targets, pool.map(lambda f: self._target(dataset, once, f, dry_run), targets), strict=True))
+                results = dict(zip(targets, pool.map(lambda f: self._target(dataset, once, f, dry_run), targets), strict=True))
+            if once.error:
+                raise once.error
+            return results
         finally:
             once.close()
 
@@ -141,17 +163,20 @@ class Controller:
         if dataset.mode == "INCREMENTAL":
             if state is None or state.instant <= 0:
                 result.fallback = "there was no sync before"
-            elif not once.source.safe_from(state.instant):
+            elif not once.safe_from(state.instant):
                 result.fallback = f"the source's history doesn't reach back to {state.instant}"
             else:
                 result.mode = "INCREMENTAL"
         if result.mode == "INCREMENTAL":
             found = once.changes(state.instant)
             result.no_op, result.commits, result.instant = not found, len(found), found[-1].instant if found else state.instant
+            for c in found:
+                _named(c.table)
             if found and not dry_run:
                 target.commit_changes(found)
             return
         snapshot = once.snapshot()
+        _named(snapshot.table)
         result.commits, result.instant = 1, snapshot.table.instant
         if not dry_run:
             target.commit_snapshot(snapshot)
