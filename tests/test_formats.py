@@ -1,5 +1,6 @@
 """Formats end to end: what a target wrote is read back by its source and by Spark's own Parquet reader."""
 
+import datetime
 import json
 import random
 from collections import Counter
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater import scan
+from tidewater.functions import avro
 from tidewater.model import FILE_COLUMNS, FILES, Change, PartitionField, Snapshot, Table, TableError
 from tidewater.operators import files as op
 from tidewater.plans import catalogue
 from tidewater.plans.staging import Log
-from tidewater.sources import detect_format, open_source, open_target
-from tidewater.sources.storage import Exists
+from tidewater.sources import delta, detect_format, open_source, open_target
+from tidewater.sources.storage import Exists, Storage
 from tidewater.sync import Controller, Dataset
 
 ALL = ("delta", "iceberg", "hudi", "paimon")
@@ -324,3 +326,180 @@ def test_outside_files_are_refused(spark, tmp_path):
     for format in ("hudi", "paimon"):
         with pytest.raises(TableError):
             open_target(spark, format, str(tmp_path)).commit_changes([Change("1", 1, t, _files(spark, [("/elsewhere/a.parquet", 1)]).withColumn("op", F.lit("ADD")).select("op", *FILE_COLUMNS))])
+
+
+# --- commits that cost what they change -----------------------------------------------------
+
+
+def _manifests(spark, path):
+    source = open_source(spark, "iceberg", path)
+    meta = source.metadata()
+    return [(e["manifest_path"], e["added_files_count"], e["existing_files_count"], e["deleted_files_count"]) for e in avro.load(source.store.read(meta["snapshots"][-1]["manifest-list"]))[1]]
+
+
+def test_commits_leave_old_manifests_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "t")
+    log, rows_ = Log(spark, path), spark.range(300)
+    sync = lambda: [r.error for r in Controller(spark).sync(Dataset(path, "DELTA", ("ICEBERG", "PAIMON"))).values()]
+    log.commit(rows_.where("id < 100"))
+    assert sync() == ["", ""]
+    log.commit(rows_.where("id between 100 and 199"))
+    assert sync() == ["", ""]
+    before = _manifests(spark, path)
+    assert [m[1:] for m in before] == [(1, 0, 0), (1, 0, 0)]
+    paimon = open_source(spark, "paimon", path)
+    listed = lambda: [m["_FILE_NAME"] for m in json.loads(paimon.store.text(f"manifest/{paimon._pick(None)['baseManifestList']}"))["manifests"]]
+    first = listed()
+    log.commit(rows_.where("id >= 200"), remove=open_source(spark, "delta", path).snapshot("0").files)
+    assert sync() == ["", ""]
+    after = _manifests(spark, path)
+    assert before[0][0] in [m[0] for m in after] and sorted(m[1:] for m in after) == [(0, 0, 1), (1, 0, 0), (1, 0, 0)]
+    assert set(first) < set(listed())
+    for format in ("iceberg", "paimon"):
+        assert {r.id for r in scan.scan(spark, path, format).collect()} == set(range(100, 300))
+    log.commit(rows_.where("id < 50"))
+    assert sync() == ["", ""]
+    assert len(_manifests(spark, path)) == 3  # the one whose file had gone is dropped
+    got = open_source(spark, "iceberg", path).changes_since(-1)
+    assert [sorted((r.op, r.record_count) for r in c.files.collect()) for c in got] == [[("ADD", 100)], [("ADD", 100)], [("ADD", 100), ("REMOVE", 100)], [("ADD", 50)]]
+    assert open_source(spark, "paimon", path)._pick(None)["totalRecordCount"] == 250
+
+
+def test_rewritten_manifests_keep_who_added_what(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(4).select("id", F.col("id").alias("k")).repartition(4).write.partitionBy("k").parquet(path)
+    assert Controller(spark).sync(Dataset(path, "parquet", ("iceberg",)))["ICEBERG"].error == ""
+    source = open_source(spark, "iceberg", path)
+    table, files, first = source.table(), source.snapshot().files, source.metadata()["current-snapshot-id"]
+    gone = files.where(F.col("partition_values")["k"] == "2").withColumn("op", F.lit("REMOVE")).select("op", *FILE_COLUMNS)
+    open_target(spark, "iceberg", path).commit_changes([Change("1", 5000, table, gone)])
+    (manifest, *counts), = _manifests(spark, path)
+    assert counts == [0, 3, 1]
+    entries = avro.load(source.store.read(manifest))[1]
+    assert sorted((e["status"], e["snapshot_id"] == first, e["sequence_number"]) for e in entries) == [(0, True, 1)] * 3 + [(2, False, 1)]
+    assert {r.id for r in scan.scan(spark, path, "iceberg").collect()} == {0, 1, 3}
+
+
+def test_overwriting_takes_one_step(spark, tmp_path):
+    store = Storage(spark, str(tmp_path))
+    for text in (b"one", b"two", b""):
+        store.write("a/hint", text)
+        assert store.read("a/hint") == text
+    assert [f.name for f in store.list("a") if not f.name.endswith(".crc")] == ["hint"]
+
+
+def test_no_op_opens_no_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    Log(spark, path).commit(spark.range(3))
+    sync = lambda: Controller(spark).sync(Dataset(path, "delta", ("iceberg", "hudi")))
+    assert [r.verdict for r in sync().values()] == ["SUCCESS"] * 2
+    monkeypatch.setattr(delta.Source, "snapshot", None)
+    assert [r.verdict for r in sync().values()] == ["NO_OP"] * 2
+    monkeypatch.undo()
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(TableError):
+        Controller(spark).sync(Dataset(str(tmp_path / "empty"), "delta", ("iceberg",)))
+
+
+# --- scans without a join --------------------------------------------------------------------
+
+
+def test_scans_of_partitions_join_nothing(spark, people):
+    path, df = people
+    out = scan.scan(spark, path, "delta").where("country = 'DE'")
+    plan = out._jdf.queryExecution().toString()
+    assert "Join" not in plan and "PartitionFilters: [isnotnull(country" in plan and rows(out.select(*df.columns)) == rows(df.where("country = 'DE'"))
+
+
+@pytest.mark.parametrize("few", [32, 1])
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_partition_values_that_no_directory_tells(spark, tmp_path, monkeypatch, few, small):
+    """As literals, or joined to a list that is broadcast only if it is small."""
+    monkeypatch.setattr(scan, "FEW", few)
+    monkeypatch.setattr(scan, "SMALL", small)
+    path = str(tmp_path / "t")
+    schema = T.StructType.fromDDL("id bigint, day date, part string")
+    files = None
+    for k, (day, part) in enumerate([("2024-01-01", "x y"), ("2024-01-02", None), (None, "z")]):
+        where = f"{path}/data-{k}"
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.parquet(where)
+        values = F.create_map(F.lit("day"), F.lit(day).cast("string"), F.lit("part"), F.lit(part).cast("string"))
+        found = open_source(spark, "parquet", where).snapshot().files.withColumn("partition_values", values)
+        files = found if files is None else files.unionByName(found)
+    table = Table("t", "DELTA", path, schema, (PartitionField("day"), PartitionField("part")), 1000)
+    open_target(spark, "delta", path).commit_snapshot(Snapshot(table, files.select(*FILE_COLUMNS), "1"))
+    out = scan.scan(spark, path, "delta", where=[("id", "<", 25)])
+    want = Counter((i, [datetime.date(2024, 1, 1), datetime.date(2024, 1, 2), None][i // 10], ["x y", None, "z"][i // 10]) for i in range(25))
+    assert rows(out) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan) == (few == 1) and ("BroadcastHashJoin" in plan) == (few == 1 and small > 0) and "BuildLeft" not in plan
+
+
+# --- logs of other writers -------------------------------------------------------------------
+
+
+def _write_log(path, *commits):
+    log = path / "_delta_log"
+    log.mkdir(parents=True)
+    for v, lines in enumerate(commits):
+        (log / f"{v:020d}.json").write_text("\n".join(json.dumps(x) for x in lines) + "\n")
+
+
+def _meta(fields, columns=(), **configuration):
+    return {"metaData": {"id": "x", "name": None, "description": None, "format": {"provider": "parquet", "options": {}}, "schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": list(columns), "createdTime": 1, "configuration": configuration}}
+
+
+def test_log_with_fields_that_are_not_known(spark, tmp_path):
+    """Tags, transactions, domains, statistics without some columns, null values, a removal without sizes."""
+    path = tmp_path / "t"
+    fields = [{"name": "id", "type": "long", "nullable": False, "metadata": {}}, {"name": "region", "type": "string", "nullable": False, "metadata": {}}, {"name": "amount", "type": "double", "nullable": True, "metadata": {}}]
+    add = lambda name, region, n: {"add": {"path": f"region={region}/{name}.parquet", "partitionValues": {"region": region}, "size": 100 + n, "modificationTime": 5, "dataChange": True, "stats": json.dumps({"numRecords": n, "minValues": {"id": 1}, "maxValues": {"id": n}, "nullCount": {"id": 0, "amount": 1}}), "tags": None, "baseRowId": None, "clusteringProvider": None}}
+    _write_log(
+        path,
+        [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, _meta(fields, ["region"]), add("a", "east", 3), add("b", "west", 4), {"commitInfo": {"timestamp": 10, "operation": "WRITE", "operationParameters": {"mode": "Append"}, "engineInfo": "other", "clientVersion": "1"}}],
+        [{"txn": {"appId": "s", "version": 3}}, {"domainMetadata": {"domain": "d", "configuration": "{}", "removed": False}}, add("c", "east", 5), {"commitInfo": {"timestamp": 10, "operation": "WRITE"}}],
+        [{"remove": {"path": "region=west/b.parquet", "dataChange": True, "deletionTimestamp": 7, "extendedFileMetadata": False}}, {"commitInfo": {"timestamp": 9, "operation": "DELETE"}}],
+    )
+    source = open_source(spark, "delta", str(path))
+    assert source.history() == [("0", 10), ("1", 11), ("2", 12)]
+    found = {r.path.rpartition("/")[2]: (r.record_count, r.partition_values, r.stats["id"].max, r.stats["amount"].nulls) for r in source.snapshot().files.collect()}
+    assert found == {"a.parquet": (3, {"region": "east"}, "3", 1), "c.parquet": (5, {"region": "east"}, "5", 1)}
+    assert [(c.version, c.operation, [(r.op, r.path.rpartition("/")[2]) for r in c.files.collect()]) for c in source.changes_since(10)] == [("1", "WRITE", [("ADD", "c.parquet")]), ("2", "DELETE", [("REMOVE", "b.parquet")])]
+    assert source.change("1").instant == 11
+    with pytest.raises(TableError):
+        source.change("9")
+
+
+def test_lines_of_a_commit_keep_their_order_when_it_is_split(spark, tmp_path):
+    path = tmp_path / "t"
+    add = lambda i: {"add": {"path": f"f{i}.parquet", "partitionValues": {}, "size": i, "modificationTime": 1, "dataChange": True, "stats": "{}"}}
+    _write_log(path, [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, _meta([{"name": "id", "type": "long", "nullable": True, "metadata": {}}]), *(add(i) for i in range(3000))])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        source = open_source(spark, "delta", str(path))
+        assert source._commits([f.path for f in source.store.list("_delta_log") if f.name.endswith(".json")]).rdd.getNumPartitions() > 5
+        assert [r.size_bytes for r in source.changes_since(-1)[0].files.collect()] == list(range(3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_mapped_columns_are_read_by_their_names_in_files(spark, tmp_path):
+    path = tmp_path / "t"
+    inner = {"type": "struct", "fields": [{"name": "x", "type": "long", "nullable": True, "metadata": {"delta.columnMapping.id": 4, "delta.columnMapping.physicalName": "col-x"}}]}
+    field = lambda name, kind, i: {"name": name, "type": kind, "nullable": True, "metadata": {"delta.columnMapping.id": i, "delta.columnMapping.physicalName": f"col-{i}"}}
+    for day in ("2024-01-01", "2024-01-02"):
+        spark.range(5).select(F.col("id").alias("col-1"), F.struct(F.col("id").alias("col-x")).alias("col-3")).coalesce(1).write.parquet(str(path / day))
+    adds = [{"add": {"path": str(f.relative_to(path)), "partitionValues": {"col-2": f.parent.name}, "size": 9, "modificationTime": 1, "dataChange": True, "stats": json.dumps({"numRecords": 5, "minValues": {"col-1": 0}, "maxValues": {"col-1": 4}, "nullCount": {"col-1": 0}})}} for f in sorted(path.glob("*/*.parquet"))]
+    protocol = {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": ["columnMapping"], "writerFeatures": ["columnMapping"]}
+    _write_log(path, [{"protocol": protocol}, _meta([field("id", "long", 1), field("day", "date", 2), field("s", inner, 3)], ["day"], **{"delta.columnMapping.mode": "name"}), *adds])
+    out = scan.scan(spark, str(path), "delta", where=[("id", ">=", 3), ("day", "=", datetime.date(2024, 1, 2))])
+    assert out.columns == ["id", "day", "s"] and out.schema["s"].dataType.fieldNames() == ["x"]
+    assert rows(out) == Counter({(3, datetime.date(2024, 1, 2), (3,)): 1, (4, datetime.date(2024, 1, 2), (4,)): 1})
+    assert "names in its files" in Controller(spark).sync(Dataset(str(path), "delta", ("iceberg",)))["ICEBERG"].error
+
+
+@pytest.mark.parametrize("protocol", [{"minReaderVersion": 4}, {"minReaderVersion": 3, "readerFeatures": ["somethingNew"]}])
+def test_unknown_reader_features_are_refused(spark, tmp_path, protocol):
+    _write_log(tmp_path / "t", [{"protocol": protocol | {"minWriterVersion": 7}}, _meta([{"name": "id", "type": "long", "nullable": True, "metadata": {}}])])
+    with pytest.raises(TableError, match="reader"):
+        open_source(spark, "delta", str(tmp_path / "t")).snapshot()

@@ -6,22 +6,22 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import paths, schemas
-from tidewater.model import DV, FILE_COLUMNS, FILES, STAT, Change, PartitionField, Snapshot, SyncState, Table, TableError, read_state, state_properties
-from tidewater.operators.files import diff_files, latest_action, monotone
+from tidewater.model import DV, FILE_COLUMNS, FILES, PHYSICAL, STAT, Change, PartitionField, Snapshot, SyncState, Table, TableError, read_state, state_properties
+from tidewater.operators.files import diff_files, latest_action
 from tidewater.sources import base
 
 LOG = "_delta_log"
 _DV = "struct<storageType:string,pathOrInlineDv:string,offset:bigint,sizeInBytes:bigint,cardinality:bigint>"
 ACTIONS = (
-    "protocol struct<minReaderVersion:int,minWriterVersion:int>, "
+    "protocol struct<minReaderVersion:int,minWriterVersion:int,readerFeatures:array<string>>, "
     "metaData struct<id:string,name:string,schemaString:string,partitionColumns:array<string>,configuration:map<string,string>,createdTime:bigint>, "
     f"add struct<path:string,partitionValues:map<string,string>,size:bigint,modificationTime:bigint,stats:string,deletionVector:{_DV}>, "
     f"remove struct<path:string,deletionVector:{_DV}>, "
@@ -34,6 +34,8 @@ def _actions_schema() -> T.StructType:
     return T.StructType.fromDDL(ACTIONS)
 
 
+#: Reader features that change nothing here, or that are read.
+FEATURES = frozenset({"deletionVectors", "columnMapping", "timestampNtz", "vacuumProtocolCheck", "v2Checkpoint"})
 STATS = "numRecords bigint, minValues map<string,string>, maxValues map<string,string>, nullCount map<string,string>"
 
 
@@ -73,60 +75,84 @@ class Source(base.Source):
             raise TableError("checkpoints with sidecars are not read")
         # read by name, as writers differ in what they keep
         rows = self.spark.read.schema(T.StructType([f for f in _actions_schema() if f.name in raw.columns and f.name in ("protocol", "metaData", "add")])).parquet(*map(self.store.full, names))
-        return rows.withColumn("version", F.lit(v).cast("bigint")).withColumn("pos", F.lit(0))
+        return rows.withColumn("version", F.lit(v).cast("bigint")).withColumn("pos", F.lit(0).cast("bigint"))
 
-    def _actions(self, whole: bool = True) -> DataFrame:
-        """version, pos and the actions; without whole only of commits."""
-        checkpoint, commits = self._listed()
-        empty = self.spark.createDataFrame([], T.StructType([T.StructField("version", T.LongType()), T.StructField("pos", T.IntegerType()), *_actions_schema()]))
-        rows = empty
-        if commits:
-            text = self.spark.read.text([p for _, p in commits], wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("bigint").alias("version"))
-            lines = text.select("version", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-            rows = lines.select("version", "pos", F.from_json("line", _actions_schema()).alias("a")).select("version", "pos", "a.*")
-        if whole and checkpoint:
-            rows = rows.unionByName(self._checkpoint(checkpoint), allowMissingColumns=True)
-        return rows
+    def _commits(self, files: list[str]) -> DataFrame:
+        """version, pos and the actions of these commits. Lines are split among tasks; pos grows within a commit."""
+        text = self.spark.read.text(files).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("bigint").alias("version"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("pos"))
+        lines = text.where(F.trim("value") != "")
+        return lines.select("version", "pos", F.from_json("value", _actions_schema()).alias("a")).select("version", "pos", "a.*")
+
+    def _actions(self, listed: tuple[dict | None, list[tuple[int, str]]]) -> DataFrame:
+        """version, pos and the actions of the checkpoint and of the commits after it."""
+        checkpoint, commits = listed
+        rows = self._commits([p for _, p in commits]) if commits else self.spark.createDataFrame([], T.StructType([T.StructField("version", T.LongType()), T.StructField("pos", T.LongType()), *_actions_schema()]))
+        return rows.unionByName(self._checkpoint(checkpoint), allowMissingColumns=True) if checkpoint else rows
 
     def _versions(self) -> tuple[int, int]:
         checkpoint, commits = self._listed()
         return (checkpoint["version"] if checkpoint else 0), (commits[-1][0] if commits else checkpoint["version"])
 
-    def _version(self, version: str | None) -> int:
-        first, last = self._versions()
+    def _version(self, version: str | None, listed: tuple[dict | None, list[tuple[int, str]]]) -> int:
+        checkpoint, commits = listed
+        first = checkpoint["version"] if checkpoint else 0
+        last = commits[-1][0] if commits else first
         at = last if version is None else int(version)
         if not first <= at <= last:
             raise TableError(f"version {version} of {self.base} isn't among {first} to {last}")
         return at
 
-    def _clock(self) -> list[tuple[int, int]]:
-        rows = self._actions(whole=False).groupBy("version").agg(F.max("commitInfo.timestamp").alias("raw"))
-        found = [(r.version, r.t) for r in rows.select("version", monotone(F.col("raw"), "version").alias("t")).orderBy("version").collect()]
-        return found
+    def _heads(self, listed: tuple[dict | None, list[tuple[int, str]]]) -> dict[int, Row]:
+        """What describes each version, in one pass over the log: raw time, metaData, protocol and operation, if it has them."""
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos")))
+        rows = self._actions(listed).where("add IS NULL AND remove IS NULL").groupBy("version")
+        found = rows.agg(F.max("commitInfo.timestamp").alias("raw"), F.max("commitInfo.operation").alias("operation"), last("metaData").alias("meta"), last("protocol").alias("protocol"))
+        return {r.version: r for r in found.collect()}
+
+    def _clock(self, listed: tuple[dict | None, list[tuple[int, str]]], heads: dict[int, Row]) -> list[tuple[int, int]]:
+        """Strictly growing times of the commits, from 1 on (`monotone` over rows that are on the driver)."""
+        out, now = [], 0
+        for v, _ in listed[1]:
+            now = max((heads[v].raw if v in heads else None) or 0, now + 1)
+            out.append((v, now))
+        return out
 
     def history(self) -> list[tuple[str, int]]:
-        return [(str(v), t) for v, t in self._clock()]
+        listed = self._listed()
+        return [(str(v), t) for v, t in self._clock(listed, self._heads(listed))]
 
-    def _table(self, meta, protocol, instant: int) -> Table:
-        schema = schemas.from_delta(meta["schemaString"])
-        columns = meta["partitionColumns"] or []
+    def _table_at(self, heads: dict[int, Row], at: int, instant: int) -> Table:
+        known = sorted(v for v in heads if v <= at)
+        metas, protocols = ([heads[v][k] for v in known if heads[v][k] is not None] for k in ("meta", "protocol"))
+        if not metas:
+            raise TableError(f"{self.base} has no metaData up to version {at}")
+        if protocols:
+            reader, features = protocols[-1].minReaderVersion or 1, set(protocols[-1].readerFeatures or ())
+            if reader > 3 or features - FEATURES:
+                raise TableError(f"{self.base} needs a reader of version {reader} with {', '.join(sorted(features - FEATURES)) or 'unknown features'}")
+        meta = metas[-1]
+        schema = schemas.from_delta(meta.schemaString)
+        columns = list(meta.partitionColumns or ())
         for c in columns:
             if c not in schema.fieldNames():
                 schema = schema.add(c, T.StringType())
-        return Table(meta["name"] or self.name, self.format, self.base, schema, tuple(PartitionField(c) for c in columns), instant, dict(meta["configuration"] or {}))
+        return Table(meta.name or self.name, self.format, self.base, schema, tuple(PartitionField(c) for c in columns), instant, dict(meta.configuration or {}))
 
     def table(self, version: str | None = None) -> Table:
-        return self._table_at(self._actions(), self._version(version))
+        listed = self._listed()
+        at, heads = self._version(version, listed), self._heads(listed)
+        return self._table_at(heads, at, dict(self._clock(listed, heads)).get(at, 0))
 
-    def _table_at(self, actions: DataFrame, at: int) -> Table:
-        row = actions.where(F.col("version") <= at).agg(F.max_by("metaData", F.when(F.col("metaData").isNotNull(), F.struct("version", "pos"))).alias("m"), F.max("protocol.minReaderVersion").alias("reader")).first()
-        if row.m is None:
-            raise TableError(f"{self.base} has no metaData up to version {at}")
-        clock = dict(self._clock())
-        return self._table(row.m.asDict(), row.reader, clock.get(at, 0))
+    def _files(self, actions: DataFrame, schema: T.StructType) -> DataFrame:
+        """version, pos, op, key and file of adds and removes; partition values and statistics by the schema's names."""
+        of_file = {f.metadata[PHYSICAL]: f.name for f in schema if (f.metadata or {}).get(PHYSICAL, f.name) != f.name}
+
+        def renamed(pairs: Column) -> Column:
+            if not of_file:
+                return F.map_from_entries(pairs)
+            names = F.create_map(*[F.lit(x) for pair in of_file.items() for x in pair])
+            return F.map_from_entries(F.transform(pairs, lambda e: e.withField("key", F.coalesce(names[e["key"]], e["key"]))))
 
-    def _files(self, actions: DataFrame) -> DataFrame:
-        """version, pos, op, key and file of adds and removes."""
         stats = F.from_json(F.col("add.stats"), STATS)
         names = F.array_distinct(F.concat(F.coalesce(F.map_keys("s.minValues"), F.array()), F.coalesce(F.map_keys("s.nullCount"), F.array())))
         each = F.transform(names, lambda n: F.struct(n.alias("key"), F.struct(F.col("s.minValues")[n].alias("min"), F.col("s.maxValues")[n].alias("max"), F.expr("try_cast(null as bigint)").alias("nulls"), F.lit(None).cast("bigint").alias("nans"), F.col("s.numRecords").alias("total")).withField("nulls", F.col("s.nullCount")[n].try_cast("bigint")).cast(STAT).alias("value")))
@@ -136,10 +162,10 @@ class Source(base.Source):
             F.lit("PARQUET").alias("file_format"),
             F.col("add.size").alias("size_bytes"),
             F.col("s.numRecords").alias("record_count"),
-            F.coalesce("add.partitionValues", F.create_map().cast("map<string,string>")).alias("partition_values"),
+            renamed(F.map_entries(F.coalesce("add.partitionValues", F.create_map().cast("map<string,string>")))).alias("partition_values"),
             F.col("add.modificationTime").alias("last_modified"),
             _dv(F.col("add.deletionVector")).alias("dv"),
-            F.when(F.col("s").isNotNull(), F.map_from_entries(each)).alias("stats"),
+            F.when(F.col("s").isNotNull(), renamed(each)).alias("stats"),
         ).cast(FILES)
         removed = F.struct(paths.resolved(F.col("remove.path"), self.base).alias("path"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in FILES[1:6]], _dv(F.col("remove.deletionVector")).alias("dv"), F.lit(None).cast(FILES["stats"].dataType).alias("stats")).cast(FILES)
         file = F.when(F.col("add").isNotNull(), added).otherwise(removed)
@@ -149,30 +175,39 @@ class Source(base.Source):
         return rows.withColumn("key", F.struct("file.path", vector.alias("vector")))
 
     def snapshot(self, version: str | None = None) -> Snapshot:
-        at, actions = self._version(version), self._actions()
-        table = self._table_at(actions, at)
-        return Snapshot(table, latest_action(self._files(actions.where(F.col("version") <= at))), str(at))
+        listed = self._listed()
+        at, heads = self._version(version, listed), self._heads(listed)
+        table = self._table_at(heads, at, dict(self._clock(listed, heads)).get(at, 0))
+        upto = listed[0], [c for c in listed[1] if c[0] <= at]
+        return Snapshot(table, latest_action(self._files(self._actions(upto), table.schema)), str(at))
+
+    def _changes(self, wanted: Callable[[int, int], bool]) -> list[Change]:
+        """Changes of the commits whose version and time are wanted, each of which reads its own file only; removals carry the path and vector."""
+        listed = self._listed()
+        heads, names, out = self._heads(listed), dict(listed[1]), []
+        for v, t in self._clock(listed, heads):
+            if wanted(v, t):
+                table = self._table_at(heads, v, t)
+                rows = self._files(self._commits([names[v]]), table.schema)
+                out.append(Change(str(v), t, table, rows.orderBy("pos").select("op", "file.*"), (heads[v].operation if v in heads else None) or ""))
+        return out
 
     def changes_since(self, instant: int) -> list[Change]:
-        """Commits from JSON only; removals carry the path and vector."""
-        actions = self._actions()
-        commits = [(v, t) for v, t in self._clock() if t > instant]
-        if not commits:
-            return []
-        tables: dict[int, Table] = {}
-        metas = {r.version: r.m for r in actions.where("metaData IS NOT NULL").groupBy("version").agg(F.max_by("metaData", "pos").alias("m")).collect()}
-        for v, t in commits:
-            known = [m for m in metas if m <= v]
-            if not known:
-                raise TableError(f"{self.base} has no metaData up to version {v}")
-            tables[v] = self._table(metas[max(known)].asDict(), None, t)
-        kinds = {r.version: r.op for r in actions.where("commitInfo IS NOT NULL").groupBy("version").agg(F.max("commitInfo.operation").alias("op")).collect()}
-        rows = self._files(self._actions(whole=False))
-        return [Change(str(v), t, tables[v], rows.where(F.col("version") == v).orderBy("pos").select("op", "file.*"), kinds.get(v) or "") for v, t in commits]
+        return self._changes(lambda _, t: t > instant)
+
+    def change(self, version: str) -> Change:
+        found = self._changes(lambda v, _: str(v) == version)
+        if not found:
+            raise TableError(f"{self.base} has no change {version}")
+        return found[0]
 
     def safe_from(self, instant: int) -> bool:
-        rows = self._actions(whole=False).groupBy("version").agg(F.max("commitInfo.timestamp").alias("t")).orderBy("version").first()
-        return rows is not None and 0 < (rows.t or 0) <= instant
+        listed = self._listed()
+        if not listed[1]:
+            return False
+        v, path = listed[1][0]
+        first = self._commits([path]).agg(F.max("commitInfo.timestamp")).first()[0] or 0
+        return 0 < first <= instant
 
 
 def _stats_json(schema: T.StructType) -> Column:

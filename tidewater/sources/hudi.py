@@ -194,12 +194,9 @@ class Target(base.Target):
         now = int(datetime.now(timezone.utc).timestamp() * 1000)
         if line:
             now = max(now, instant_ms(line[-1][0]) + 1)
-        while True:
-            try:
-                self.store.create(f"{DIR}/{to_instant(now)}.{'replacecommit' if replaced else 'commit'}", json.dumps(commit).encode())
-                break
-            except Exists:
-                now += 1
+        if [x[0] for x in (source._timeline() if source else ())] != [x[0] for x in line]:
+            raise Exists(f"another commit of {self.base}")  # what it replaces is read again
+        self.store.create(f"{DIR}/{to_instant(now)}.{'replacecommit' if replaced else 'commit'}", json.dumps(commit).encode())
         properties |= {NAME: self.name, KIND: "COPY_ON_WRITE", VERSION: str(NEWEST), FILE_FORMAT: "PARQUET", SCHEMA: json.dumps(avro)} | state
         if columns:
             properties[PARTITIONS] = ",".join(columns)
@@ -207,16 +204,17 @@ class Target(base.Target):
         self.store.write(f"{DIR}/hoodie.properties", "".join(f"{k}={escape(v)}\n" for k, v in sorted(properties.items())).encode())
 
     def commit_snapshot(self, snapshot: Snapshot) -> None:
-        source = self._source()
-        files = snapshot.files.select(*FILE_COLUMNS)
-        if source and source._timeline():
-            old, new = source.snapshot().files, files.withColumn("path", paths.local_form(F.col("path")))
-            self._commit(snapshot.table, snapshot.source_id, diff_files(old, new))
-        else:
-            self._commit(snapshot.table, snapshot.source_id, files.withColumn("op", F.lit("ADD")))
+        def commit() -> None:
+            source = self._source()
+            files = snapshot.files.select(*FILE_COLUMNS)
+            if source and source._timeline():
+                old, new = source.snapshot().files, files.withColumn("path", paths.local_form(F.col("path")))
+                self._commit(snapshot.table, snapshot.source_id, diff_files(old, new))
+            else:
+                self._commit(snapshot.table, snapshot.source_id, files.withColumn("op", F.lit("ADD")))
+
+        self._retried(commit)
 
     def commit_changes(self, changes: list[Change]) -> None:
         for c in changes:
-            self._commit(c.table, c.version, c.files)
-
-
+            self._retried(lambda c=c: self._commit(c.table, c.version, c.files))

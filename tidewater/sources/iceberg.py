@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import avro, bounds, paths, schemas
 from tidewater.model import FILE_COLUMNS, FILES, Change, PartitionField, Snapshot, SyncState, Table, TableError, field_by_path, read_state, state_properties
-from tidewater.operators.files import apply_diff, diff_files
+from tidewater.operators.files import apply_diff, diff_files, one_per_path
 from tidewater.sources import base
 
 DIR = "metadata"
@@ -151,7 +151,9 @@ class Source(base.Source):
         current = meta.get("current-snapshot-id")
         at = by_id.get(current) if current not in (None, -1) else (meta["snapshots"][-1] if meta.get("snapshots") else None)
         line: list[dict[str, Any]] = []
-        while at and at not in line:
+        seen: set[int] = set()
+        while at and at["snapshot-id"] not in seen:
+            seen.add(at["snapshot-id"])
             line.append(at)
             at = by_id.get(at.get("parent-snapshot-id"))
         out, now = [], 0
@@ -177,13 +179,13 @@ class Source(base.Source):
         meta = self.metadata()
         return self._table(meta, *self._find(meta, version))
 
-    def _files(self, meta: dict[str, Any], snapshot: dict[str, Any], table: Table) -> DataFrame:
-        """Live data files: a task for each manifest; manifests of delete files aren't opened."""
+    def _files(self, meta: dict[str, Any], snapshot: dict[str, Any], table: Table, added: bool = False) -> DataFrame:
+        """Live data files, or only those that the snapshot added: a task for each manifest; manifests of delete files aren't opened."""
         if "manifest-list" in snapshot:
             _, entries = avro.load(self.store.read(snapshot["manifest-list"]))
             if any(e.get("content") == 1 for e in entries) and not self.lenient:
                 raise TableError(f"{self.base} has delete files; rows that they delete would come back")
-            manifests = [(e["manifest_path"], e.get("partition_spec_id", 0)) for e in entries if e.get("content", 0) == 0]
+            manifests = [(e["manifest_path"], e.get("partition_spec_id", 0)) for e in entries if e.get("content", 0) == 0 and (not added or e.get("added_snapshot_id") in (None, snapshot["snapshot-id"]))]
         else:
             manifests = [(p, 0) for p in snapshot.get("manifests") or ()]
         if not manifests:
@@ -196,6 +198,7 @@ class Source(base.Source):
             names[f.metadata.get("field_id")] = f.name  # renamed columns carry today's name
         specs = {k: {p["name"]: p for p in v} for k, v in self._specs(meta).items()}
         of_manifest = {paths.comparable(p): spec for p, spec in manifests}
+        number = snapshot["snapshot-id"]
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -205,7 +208,7 @@ class Source(base.Source):
                     rows = []
                     for e in entries:
                         d = e["data_file"]
-                        if e["status"] == 2 or d.get("content", 0) != 0:
+                        if e["status"] == 2 or d.get("content", 0) != 0 or added and (e["status"] != 1 or e.get("snapshot_id") not in (None, number)):
                             continue
                         maps = {k: {x["key"]: x["value"] for x in d.get(k) or ()} for k in ("value_counts", "null_value_counts", "nan_value_counts", "lower_bounds", "upper_bounds")}
                         ids = sorted({i for m in maps.values() for i in m} & names.keys())
@@ -229,7 +232,7 @@ class Source(base.Source):
         return Snapshot(table, self._files(meta, found, table) if found else self._no_files(), str(found["snapshot-id"]) if found else "")
 
     def changes_since(self, instant: int) -> list[Change]:
-        """Each snapshot's live files against its parent's."""
+        """What an append added, by its own manifests' entries; of other snapshots, live files against the parent's."""
         meta = self.metadata()
         line = self._snapshots(meta)
         out = []
@@ -237,6 +240,11 @@ class Source(base.Source):
             if t <= instant:
                 continue
             table = self._table(meta, s, t)
+            operation = (s.get("summary") or {}).get("operation", "")
+            if operation == "append" and "manifest-list" in s and (k or s.get("parent-snapshot-id") is None):
+                files = self._files(meta, s, table, True).withColumn("op", F.lit("ADD")).select("op", *FILE_COLUMNS)
+                out.append(Change(str(s["snapshot-id"]), t, table, files, operation))
+                continue
             now = self._files(meta, s, table)
             if k:
                 files = diff_files(self._files(meta, line[k - 1][0], table), now)
@@ -244,7 +252,7 @@ class Source(base.Source):
                 raise TableError(f"the parent of snapshot {s['snapshot-id']} of {self.base} has expired")
             else:
                 files = now.withColumn("op", F.lit("ADD")).select("op", *FILE_COLUMNS)
-            out.append(Change(str(s["snapshot-id"]), t, table, files, (s.get("summary") or {}).get("operation", "")))
+            out.append(Change(str(s["snapshot-id"]), t, table, files, operation))
         return out
 
 
@@ -322,14 +330,56 @@ class Target(base.Target):
             out.append({"manifest_path": path, "manifest_length": len(row.data), "partition_spec_id": spec["spec-id"], "content": 0, "sequence_number": sequence, "min_sequence_number": sequence, "added_snapshot_id": snapshot_id} | counts)
         return out
 
-    def _commit(self, table: Table, source_id: str, files: DataFrame, operation: str) -> None:
+    def _rewritten(self, entries: list[dict[str, Any]], changed: DataFrame, snapshot_id: int, sequence: int) -> list[dict[str, Any]]:
+        """Entries of a manifest list without the changed paths: manifests that hold none stay as they are; the others are written anew by tasks, with what goes marked as deleted and the rest as existing."""
+        if not entries:
+            return []
+        known = {paths.comparable(e["manifest_path"]): e for e in entries}
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for manifest, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = [e["data_file"]["file_path"] for e in avro.load(content)[1] if e["status"] != 2]
+                    yield pa.RecordBatch.from_arrays([pa.array([manifest] * len(found), pa.string()), pa.array(found, pa.string())], ["manifest", "path"])
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for manifest, content, gone in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    header, old = avro.load(content)
+                    gone, of, out, sums = set(gone), known[paths.comparable(manifest)], [], [0, 0, 0, 0]
+                    for e in old:
+                        if e["status"] == 2:
+                            continue
+                        goes = e["data_file"]["file_path"] in gone
+                        numbers = {k: e.get(k) if e.get(k) is not None else of["sequence_number"] for k in ("sequence_number", "file_sequence_number")}
+                        owner = snapshot_id if goes else e["snapshot_id"] if e.get("snapshot_id") is not None else of["added_snapshot_id"]
+                        out.append(e | numbers | {"status": 2 if goes else 0, "snapshot_id": owner})
+                        sums[2 * goes] += 1
+                        sums[2 * goes + 1] += e["data_file"]["record_count"]
+                    rest = {k: v for k, v in header.items() if k not in ("avro.schema", "avro.codec")}
+                    yield pa.RecordBatch.from_arrays([pa.array([avro.dump(json.loads(header["avro.schema"]), out, rest)], pa.binary()), pa.array([manifest]), *(pa.array([x], pa.int64()) for x in sums)], ["data", "manifest", "files", "rows", "gone", "gone_rows"])
+
+        names = [e["manifest_path"] for e in entries]
+        content = self.spark.read.format("binaryFile").load(names).select(F.col("path").alias("manifest"), "content").repartition(max(1, min(len(names), 1000)))
+        held = content.mapInArrow(named, "manifest string, path string").join(changed.select("path").distinct(), "path").groupBy("manifest").agg(F.collect_set("path").alias("gone"))  # a manifest's own paths
+        done = content.join(held, "manifest").mapInArrow(write, "data binary, manifest string, files bigint, rows bigint, gone bigint, gone_rows bigint")
+        new = {}
+        for r in done.toLocalIterator():
+            path = self.store.create(f"{DIR}/{uuid.uuid4()}-m.avro", bytes(r.data))
+            counts = {"added_files_count": 0, "added_rows_count": 0, "existing_files_count": r.files, "existing_rows_count": r.rows, "deleted_files_count": r.gone, "deleted_rows_count": r.gone_rows}
+            old = known[paths.comparable(r.manifest)]
+            new[old["manifest_path"]] = old | {"manifest_path": path, "manifest_length": len(r.data), "sequence_number": sequence, "added_snapshot_id": snapshot_id} | counts
+        return [new.get(e["manifest_path"], e) for e in entries]
+
+    def _commit(self, table: Table, source_id: str, files: DataFrame, operation: str, changed: DataFrame | None = None) -> None:
+        """files: what is added. changed: the files whose entries go; the rest of the table stays. None: nothing stays."""
         self._check(files)
         source = self._source()
         before = source.metadata() if source else {}
         version = source._metadata_files()[-1][0] + 1 if source else 1
         old = list(before.get("schemas") or ())
         current = next((s for s in old if s["schema-id"] == before.get("current-schema-id")), None)
-        full = table.schema
+        full = T.StructType(list(table.schema.fields))  # the table's own schema is shared
         for c in table.partition_columns:
             if field_by_path(full, c) is None:
                 full = full.add(c, T.StringType())
@@ -350,11 +400,15 @@ class Target(base.Target):
             specs.append(spec)
         now, snapshot_id, sequence = int(time.time() * 1000), random.SystemRandom().getrandbits(62) + 1, before.get("last-sequence-number", 0) + 1
         target = Table(table.name, table.format, self.base, full, table.partition_fields)
-        manifests = self._manifests(files, schema, target, spec, snapshot_id, sequence)
-        parent = before.get("current-snapshot-id")
+        manifests, parent = [], before.get("current-snapshot-id")
+        if changed is not None and source and (now_at := source._find(before, None)[0]):
+            kept = [{n: e.get(n) or 0 for n, _, _ in LIST_FIELDS} for e in avro.load(self.store.read(now_at["manifest-list"]))[1]]
+            kept = [e for e in kept if e["added_files_count"] + e["existing_files_count"]]  # those whose files had all gone
+            manifests = self._rewritten(kept, changed, snapshot_id, sequence)
+        manifests = [*self._manifests(files, schema, target, spec, snapshot_id, sequence), *manifests]
         header = {"snapshot-id": str(snapshot_id), "sequence-number": str(sequence), "format-version": "2"} | ({"parent-snapshot-id": str(parent)} if parent else {})
         listed = self.store.create(f"{DIR}/snap-{snapshot_id}-0-{uuid.uuid4()}.avro", avro.dump(LIST_SCHEMA, manifests, header))
-        total, rows = sum(m["added_files_count"] for m in manifests), sum(m["added_rows_count"] for m in manifests)
+        total, rows = (sum(m[f"added_{k}_count"] + m[f"existing_{k}_count"] for m in manifests) for k in ("files", "rows"))
         stamp = max(now, before.get("last-updated-ms", 0) + 1)
         snapshot = {"snapshot-id": snapshot_id, "sequence-number": sequence, "timestamp-ms": stamp, "manifest-list": listed, "summary": {"operation": operation, "total-data-files": str(total), "total-records": str(rows)}, "schema-id": schema["schema-id"]} | ({"parent-snapshot-id": parent} if parent else {})
         properties = dict(before.get("properties") or {}) | state_properties(base.state_of(table, source_id)) | {MAPPING: json.dumps(schemas.name_mapping(schema))}
@@ -386,11 +440,16 @@ class Target(base.Target):
         self._retried(lambda: self._commit(snapshot.table, snapshot.source_id, snapshot.files, "overwrite"))
 
     def commit_changes(self, changes: list[Change]) -> None:
+        """Each costs what it changes: manifests that list none of its files stay as they are."""
         for c in changes:
 
             def commit(c: Change = c) -> None:
+                added = one_per_path(c.files.where("op = 'ADD'").select(*FILE_COLUMNS))
                 source = self._source()
-                live = source.snapshot().files if source else self.spark.createDataFrame([], FILES)
-                self._commit(c.table, c.version, apply_diff(live, c.files), "append" if c.files.where("op = 'REMOVE'").isEmpty() else "overwrite")
+                meta = source.metadata() if source else {}
+                if meta and (meta["format-version"] != MAXIMUM or any("manifest-list" not in s for s in meta.get("snapshots") or ())):
+                    self._commit(c.table, c.version, apply_diff(source.snapshot().files, c.files), "overwrite")
+                    return
+                self._commit(c.table, c.version, added, "append" if c.files.where("op = 'REMOVE'").isEmpty() else "overwrite", c.files)
 
             self._retried(commit)

@@ -18,8 +18,8 @@ from tidewater.operators.files import diff_files, latest_action, one_per_path
 from tidewater.sources import base
 
 ENTRY = "entries array<struct<_KIND:int,_PARTITION:map<string,string>,_BUCKET:int,_TOTAL_BUCKETS:int,_FILE:struct<_FILE_NAME:string,_FILE_SIZE:bigint,_ROW_COUNT:bigint,_SCHEMA_ID:bigint,_LEVEL:int,_CREATION_TIME:bigint,_FILE_FORMAT:string>>>"
-#: Entries of one manifest.
-MANIFEST_FILES = 10_000
+#: Entries of one manifest; manifests of a list until live files are written anew.
+MANIFEST_FILES, MANY = 10_000, 500
 
 
 class Source(base.Source):
@@ -158,19 +158,29 @@ class Target(base.Target):
         self.store.create(f"manifest/{listed}", json.dumps({"manifests": metas}).encode())
         return listed
 
-    def _commit(self, table: Table, source_id: str, live: DataFrame | None, changes: DataFrame, kind: str) -> None:
-        """live: files before the changes; null for none."""
+    def _base(self, before: dict[str, Any] | None, live: DataFrame | None, schema_id: int) -> str:
+        """The list of what was there before: the manifests of the last snapshot's two lists, by name. If they have become many, live files are written anew."""
+        metas = [m for n in ("baseManifestList", "deltaManifestList") if before and before.get(n) for m in json.loads(self.store.text(f"manifest/{before[n]}")).get("manifests") or ()]
+        if len(metas) > MANY and live is not None:
+            return self._list(live.withColumn("op", F.lit("ADD")), schema_id)
+        listed = f"manifest-list-{uuid.uuid4()}-0"
+        self.store.create(f"manifest/{listed}", json.dumps({"manifests": metas}).encode())
+        return listed
+
+    def _commit(self, table: Table, source_id: str, before: dict[str, Any] | None, changes: DataFrame, kind: str) -> None:
+        """before: the snapshot that the changes are made to; null for none."""
         self._check(changes.where("op = 'ADD'"))
         schema_id = self._schema_id(table)
+        live = self._source()._files(before) if before else None
         # a removal that carries no sizes takes those of the live file, so that totals stay right
-        if live is not None:
+        if live is not None and not changes.where("op = 'REMOVE'").isEmpty():
             own = live.select("path", F.struct(*FILE_COLUMNS).alias("known"))
             gone = changes.where("op = 'REMOVE'").select("path").join(own, "path").select(F.lit("REMOVE").alias("op"), "known.*")
             changes = gone.unionByName(changes.where("op = 'ADD'").select("op", *FILE_COLUMNS))
         add = F.when(F.col("op") == "ADD", F.coalesce("record_count", F.lit(0))).otherwise(-F.coalesce("record_count", F.lit(0)))
         delta = changes.agg(F.sum(add)).first()[0] or 0
-        total = delta + ((live.agg(F.sum("record_count")).first()[0] or 0) if live is not None else 0)
-        lists = self._list(live.withColumn("op", F.lit("ADD")) if live is not None else None, schema_id), self._list(changes, schema_id)
+        total = delta + ((before.get("totalRecordCount") or 0) if before else 0)
+        lists = self._base(before, live, schema_id), self._list(changes, schema_id)
         known = self._source()._versions("snapshot", "snapshot-")
         number = max(known, default=0) + 1
         snapshot = {"version": 3, "id": number, "schemaId": schema_id, "baseManifestList": lists[0], "deltaManifestList": lists[1], "commitUser": "tidewater", "commitIdentifier": number, "commitKind": kind, "timeMillis": int(time.time() * 1000), "totalRecordCount": total, "deltaRecordCount": delta, "properties": state_properties(base.state_of(table, source_id))}
@@ -187,7 +197,6 @@ class Target(base.Target):
         for c in changes:
 
             def commit(c: Change = c) -> None:
-                now = self._source()._pick(None)
-                self._commit(c.table, c.version, self._source()._files(now) if now else None, c.files, "APPEND")
+                self._commit(c.table, c.version, self._source()._pick(None), c.files, "APPEND")
 
             self._retried(commit)
