@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
-from tidewater.functions import avro, bounds, paths, schemas
+from tidewater.functions import avro, bounds, paths, schemas, stores
 from tidewater.model import SyncState, TableError, all_fields, field_by_path, from_iso, parse_format, read_state, state_properties, to_iso
 
 
@@ -158,3 +158,32 @@ def test_avro_refuses_damage():
         avro.load(b"no" + data)
     with pytest.raises((ValueError, EOFError)):
         avro.load(data[:-3])
+
+
+def test_stores_by_hadoops_names():
+    """Settings of a bucket come before those of all; schemes of one store are one."""
+    known = {"fs.s3a.access.key": "a", "fs.s3a.secret.key": "b", "fs.s3a.bucket.own.access.key": "c", "fs.s3a.endpoint": "http://127.0.0.1:9000", "fs.s3a.path.style.access": "true", "fs.azure.account.key.acc.dfs.core.windows.net": "k"}
+    s3 = {"access_key": "a", "secret_key": "b", "endpoint_override": "127.0.0.1:9000", "scheme": "http", "force_virtual_addressing": False}
+    assert stores.arguments("s3a://other/x y%20/z.parquet", known) == ("s3", s3, "other/x y%20/z.parquet")
+    assert stores.arguments("s3n://own/z", known) == ("s3", s3 | {"access_key": "c"}, "own/z")
+    azure = ("azure", {"account_name": "acc", "account_key": "k"}, "box/a/b")
+    assert stores.arguments("wasbs://box@acc.blob.core.windows.net/a/b", known) == stores.arguments("abfss://box@acc.dfs.core.windows.net/a/b", known) == azure
+    assert stores.arguments("abfs://box@free.dfs.core.windows.net/a", known)[1] == {"account_name": "free"}
+    assert stores.arguments("gs://box/a", known) == ("gcs", {}, "box/a")
+    assert stores.arguments("file:///a b/c%", known) == stores.arguments("/a b/c%", known) == ("local", {}, "/a b/c%")
+    system, path = stores.open_store("s3a://other/x", known)
+    assert system.type_name == "s3" and path == "other/x"
+
+
+def test_settings_of_the_session_reach_workers(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    names = ["fs.s3a.access.key", "fs.s3a.bucket.own.secret.key", "fs.azure.account.key.acc.dfs.core.windows.net"]
+    for k in names:
+        conf.set(k, f"of {k}")
+    try:
+        found = stores.settings(spark)
+        assert {k: found[k] for k in names} == {k: f"of {k}" for k in names}
+        assert not any("hadoop" in k or "yarn" in k for k in found)
+    finally:
+        for k in names:
+            conf.unset(k)

@@ -6,13 +6,14 @@ import json
 import time
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions import bounds, paths, schemas
+from tidewater.functions import bounds, paths, schemas, stores
 from tidewater.model import FILES, STAT, Change, PartitionField, Snapshot, SyncState, Table, TableError, read_state, state_properties
 from tidewater.operators.files import apply_diff
 from tidewater.sources import base
@@ -72,15 +73,14 @@ def _spark_schema(arrow: pa.Schema) -> T.StructType:
     return from_arrow_schema(pa.schema([pa.field(f.name, plain(f.type), f.nullable) for f in arrow]), prefer_timestamp_ntz=True)
 
 
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pyarrow.fs as pafs
+def _footers(batches: Iterator[pa.RecordBatch], known: dict[str, str]) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
 
     for batch in batches:
         rows = []
         for path in batch.column(0).to_pylist():
             try:
-                system, inner = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+                system, inner = stores.open_store(path, known)
                 with system.open_input_file(inner) as f:
                     footer = pq.ParquetFile(f)
                     rows.append((path, footer.metadata.num_rows, _spark_schema(footer.schema_arrow).json(), list(_leaf_stats(footer.metadata).items()), None))
@@ -104,7 +104,7 @@ class Source(base.Source):
         found = self.listed()
         rows = self.spark.createDataFrame([(f.path, f.name, f.size, f.modified) for f in found], "path string, relative string, size_bytes bigint, last_modified bigint")
         spread = rows.repartition(max(1, min(len(found), 8 * self.spark.sparkContext.defaultParallelism)))
-        footers = spread.select("path").mapInArrow(_footers, _FOOTER).persist()
+        footers = spread.select("path").mapInArrow(partial(_footers, known=stores.settings(self.spark)), _FOOTER).persist()
         self._kept = [*getattr(self, "_kept", ()), footers]
         # one row for each different schema, from its newest file; footers themselves stay with the tasks
         seen = footers.join(rows, "path").groupBy("schema").agg(F.max(F.struct("last_modified", "path")).alias("newest"), F.min("error").alias("error")).collect()
