@@ -12,18 +12,19 @@ import json
 import os
 import struct
 import zlib
+from collections.abc import Callable
 from typing import Any
 
 MAGIC = b"Obj\x01"
 BLOCK = 4000
 
 
-def _write_long(out: io.BytesIO, n: int) -> None:
+def _write_long(out: bytearray, n: int) -> None:
     n = (n << 1) ^ (n >> 63)
     while n & ~0x7F:
-        out.write(bytes(((n & 0x7F) | 0x80,)))
+        out.append((n & 0x7F) | 0x80)
         n >>= 7
-    out.write(bytes((n,)))
+    out.append(n)
 
 
 def _read_long(data: io.BytesIO) -> int:
@@ -38,9 +39,9 @@ def _read_long(data: io.BytesIO) -> int:
         shift += 7
 
 
-def _write_bytes(out: io.BytesIO, value: bytes) -> None:
+def _write_bytes(out: bytearray, value: bytes) -> None:
     _write_long(out, len(value))
-    out.write(value)
+    out += value
 
 
 def _read_bytes(data: io.BytesIO) -> bytes:
@@ -56,6 +57,7 @@ class Codec:
 
     def __init__(self, schema: Any):
         self.names: dict[str, Any] = {}
+        self._writers: dict[str, Any] = {}
         self.schema = schema
         self._learn(schema)
 
@@ -83,41 +85,75 @@ class Codec:
         kind, _ = self._kind(schema)
         return {"null": value is None, "boolean": isinstance(value, bool), "int": isinstance(value, int) and not isinstance(value, bool), "long": isinstance(value, int) and not isinstance(value, bool), "float": isinstance(value, float), "double": isinstance(value, float), "bytes": isinstance(value, bytes), "fixed": isinstance(value, bytes), "string": isinstance(value, str), "enum": isinstance(value, str), "array": isinstance(value, list), "map": isinstance(value, dict), "record": isinstance(value, dict)}[kind]
 
-    def write(self, out: io.BytesIO, schema: Any, value: Any) -> None:
+    def writer(self, schema: Any) -> Callable[[bytearray, Any], None]:
+        """Appends values of the schema; made once for each schema, so that records aren't looked up type by type."""
         kind, s = self._kind(schema)
         if kind == "union":
-            at = next((i for i, x in enumerate(s) if self._fits(x, value)), None)
-            if at is None:
-                raise TypeError(f"{value!r} fits none of {s}")
-            _write_long(out, at)
-            self.write(out, s[at], value)
-        elif kind == "null":
-            pass
-        elif kind == "boolean":
-            out.write(b"\x01" if value else b"\x00")
-        elif kind in ("int", "long"):
-            _write_long(out, value)
-        elif kind in ("float", "double"):
-            out.write(struct.pack("<f" if kind == "float" else "<d", value))
-        elif kind == "bytes":
-            _write_bytes(out, value)
-        elif kind == "string":
-            _write_bytes(out, value.encode())
-        elif kind == "fixed":
-            out.write(value)
-        elif kind == "enum":
-            _write_long(out, s["symbols"].index(value))
-        elif kind in ("array", "map"):
-            if value:
-                _write_long(out, len(value))
-            for item in value.items() if kind == "map" else value:
-                if kind == "map":
-                    _write_bytes(out, item[0].encode())
-                self.write(out, s["items" if kind == "array" else "values"], item[1] if kind == "map" else item)
-            _write_long(out, 0)
-        else:
-            for f in s["fields"]:
-                self.write(out, f["type"], value[f["name"]] if f["name"] in value else f.get("default"))
+            each = [self.writer(x) for x in s]
+            heads = [bytearray() for _ in s]
+            for i, head in enumerate(heads):
+                _write_long(head, i)
+            if len(s) == 2 and "null" in s:  # a value or none
+                none = s.index("null")
+
+                def maybe(out: bytearray, value: Any) -> None:
+                    if value is None:
+                        out += heads[none]
+                    else:
+                        out += heads[1 - none]
+                        each[1 - none](out, value)
+
+                return maybe
+
+            def union(out: bytearray, value: Any) -> None:
+                at = next((i for i, x in enumerate(s) if self._fits(x, value)), None)
+                if at is None:
+                    raise TypeError(f"{value!r} fits none of {s}")
+                out += heads[at]
+                each[at](out, value)
+
+            return union
+        if kind == "null":
+            return lambda out, value: None
+        if kind == "boolean":
+            return lambda out, value: out.append(1 if value else 0)
+        if kind in ("int", "long"):
+            return _write_long
+        if kind in ("float", "double"):
+            pack = struct.Struct("<f" if kind == "float" else "<d").pack
+            return lambda out, value: out.extend(pack(value))
+        if kind == "bytes":
+            return _write_bytes
+        if kind == "string":
+            return lambda out, value: _write_bytes(out, value.encode())
+        if kind == "fixed":
+            return lambda out, value: out.extend(value)
+        if kind == "enum":
+            return lambda out, value: _write_long(out, s["symbols"].index(value))
+        if kind in ("array", "map"):
+            item = self.writer(s["items" if kind == "array" else "values"])
+
+            def items(out: bytearray, value: Any) -> None:
+                if value:
+                    _write_long(out, len(value))
+                    for x in value.items() if kind == "map" else value:
+                        if kind == "map":
+                            _write_bytes(out, x[0].encode())
+                        item(out, x[1] if kind == "map" else x)
+                out.append(0)
+
+            return items
+        if s["name"] in self._writers:  # a record that holds itself
+            return lambda out, value: self._writers[s["name"]](out, value)
+        self._writers[s["name"]] = None
+        fields = [(f["name"], f.get("default"), self.writer(f["type"])) for f in s["fields"]]
+
+        def record(out: bytearray, value: Any) -> None:
+            for name, default, write in fields:
+                write(out, value[name] if name in value else default)
+
+        self._writers[s["name"]] = record
+        return record
 
     def read(self, data: io.BytesIO, schema: Any) -> Any:
         kind, s = self._kind(schema)
@@ -153,21 +189,21 @@ class Codec:
 
 def dump(schema: Any, records: list[dict], meta: dict[str, str] | None = None) -> bytes:
     """A container file, deflated. The schema is written as it is, with attributes that Avro doesn't know."""
-    codec, out, sync = Codec(schema), io.BytesIO(), os.urandom(16)
-    out.write(MAGIC)
+    write, sync, out = Codec(schema).writer(schema), os.urandom(16), bytearray(MAGIC)
     head = {"avro.schema": json.dumps(schema), "avro.codec": "deflate"} | (meta or {})
-    Codec({"type": "map", "values": "bytes"}).write(out, {"type": "map", "values": "bytes"}, {k: v.encode() for k, v in head.items()})
-    out.write(sync)
+    shape = {"type": "map", "values": "bytes"}
+    Codec(shape).writer(shape)(out, {k: v.encode() for k, v in head.items()})
+    out += sync
     for i in range(0, len(records), BLOCK):
-        block = io.BytesIO()
+        block = bytearray()
         for record in records[i : i + BLOCK]:
-            codec.write(block, schema, record)
+            write(block, record)
         pack = zlib.compressobj(6, zlib.DEFLATED, -15)
-        packed = pack.compress(block.getvalue()) + pack.flush()
+        packed = pack.compress(block) + pack.flush()
         _write_long(out, len(records[i : i + BLOCK]))
         _write_bytes(out, packed)
-        out.write(sync)
-    return out.getvalue()
+        out += sync
+    return bytes(out)
 
 
 def load(data: bytes) -> tuple[dict[str, str], list[dict]]:

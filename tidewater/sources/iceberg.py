@@ -287,7 +287,7 @@ class Target(base.Target):
         return read_state(source.metadata().get("properties") or {}) if source else None
 
     def _manifests(self, files: DataFrame, schema: dict[str, Any], table: Table, spec: dict[str, Any], snapshot_id: int, sequence: int) -> list[dict[str, Any]]:
-        """Encodes manifests in tasks, sorted by path; the driver writes one after the other."""
+        """Encodes manifests in tasks, all at the same time, sorted by path; the driver then writes one after the other."""
         ids = {f["name"]: f["id"] for f in schema["fields"]}
         kinds = {f.name: f.dataType for f in table.schema}
         columns = {f["name"]: next(n for n, i in ids.items() if i == f["source-id"]) for f in spec["fields"]}
@@ -323,11 +323,13 @@ class Target(base.Target):
 
         parts = max(1, -(-files.count() // MANIFEST_FILES))
         sorted_files = files.select(*FILE_COLUMNS).repartitionByRange(parts, "path").sortWithinPartitions("path")
-        out = []
-        for k, row in enumerate(sorted_files.mapInArrow(encode, "data binary, files bigint, rows bigint").toLocalIterator()):
+        out, encoded = [], sorted_files.mapInArrow(encode, "data binary, files bigint, rows bigint").persist()
+        encoded.count()  # else one task would run after the other
+        for k, row in enumerate(encoded.toLocalIterator()):
             path = self.store.create(f"{DIR}/{uuid.uuid4()}-m{k}.avro", bytes(row.data))
             counts = {"added_files_count": row.files, "existing_files_count": 0, "deleted_files_count": 0, "added_rows_count": row.rows, "existing_rows_count": 0, "deleted_rows_count": 0}
             out.append({"manifest_path": path, "manifest_length": len(row.data), "partition_spec_id": spec["spec-id"], "content": 0, "sequence_number": sequence, "min_sequence_number": sequence, "added_snapshot_id": snapshot_id} | counts)
+        encoded.unpersist()
         return out
 
     def _rewritten(self, entries: list[dict[str, Any]], changed: DataFrame, snapshot_id: int, sequence: int) -> list[dict[str, Any]]:
