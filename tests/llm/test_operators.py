@@ -86,6 +86,38 @@ def test_bpe_appends_and_edits(encoder):
         assert b.ids(cells) == b.ids(b.table(data)) and b.decode(b.ids(cells)) == data
 
 
+def test_bpe_edits_stop_where_cells_agree_again(encoder):
+    b, data = encoder.bpe, b"abcdthing eers" * 2000
+    cells = b.table(data)
+    filled = []
+    table = b.table
+    b.table = lambda d, c=None: filled.append(len(d)) or table(d, c)
+    try:
+        after, cells = b.edit(data, cells, 100, 103, b"xyzw")
+    finally:
+        del b.table
+    assert max(filled) < 100 + 5 * b.longest and cells == table(after)
+
+
+def test_bpe_documents_under_edits(encoder, reference):
+    draw = random.Random(23)
+    parts = ["a", "the", " ", "  ", "\n", "12", "é", "日", "'s", "'", "!", "\t ", "ing", " word", "====", "😀"]
+    text = "".join(draw.choices(parts, k=400))
+    doc = bpe.Document(encoder.bpe, public_tokenizers.PATTERN, text)
+    assert doc.ids() == reference.encode_ordinary(text)
+    for _ in range(400):
+        at = draw.randint(0, len(text))
+        end = min(len(text), at + draw.choice([0, 0, 1, 3, 30]))
+        put = "".join(draw.choices(parts, k=draw.randint(0, 5)))
+        if draw.random() < 0.2:
+            at = end = len(text)
+        text = text[:at] + put + text[end:]
+        made = doc.append(put) if at == end == len(doc.text) else doc.edit(at, end, put)
+        assert doc.text == text and doc.ids() == reference.encode_ordinary(text) and made < 30
+    empty = bpe.Document(encoder.bpe, public_tokenizers.PATTERN)
+    assert empty.ids() == [] and empty.append("") == 0 and empty.append("hello") == 1
+
+
 def test_bpe_frame(spark, docs, odd, none, reference):
     for df in (docs, odd, none):
         want = Counter()
@@ -787,6 +819,77 @@ def test_pipeline_odd_and_empty_tables(spark, odd, none):
             at.count()
 
 
+@pytest.fixture(scope="module")
+def small(spark, docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_query_1(spark, small, reference):
+    want = Counter()
+    for i, text in small.items():
+        ids = reference.encode_ordinary(text)
+        want[(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += 1
+    assert rows(queries.op1_bpe(spark, SMALL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) == want
+
+
+def test_query_3(spark, small):
+    assert rows(queries.op3_ngram_join(spark, SMALL).select("doc_id", "n_shingles", "component_id")) == brute_groups(list(small.items()))
+
+
+def test_query_4(spark):
+    want, talks = {}, table(spark, SMALL, "conversations").orderBy("conv_id", "turn").collect()
+    odd = [(-1, r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]
+    for c, r, x in [(t.conv_id, t.role, t.text) for t in talks] + odd:
+        want.setdefault(c, []).append((r or "", x or ""))
+    out = {r.conv_id: r for r in queries.op4_chat(spark, SMALL).collect()}
+    assert out.keys() == want.keys()
+    for c, turns in want.items():
+        learned = "".join(x for r, x in turns if r == "assistant")
+        assert (out[c].n_turns, out[c].turns_sha256, out[c].loss_chars, out[c].loss_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        marks = out[c].formatted_chars - sum(len(r) + len(chat.escape(x)) for r, x in turns)
+        assert marks > 0 and marks % len(turns) == 0
+
+
+def test_query_5(spark):
+    items = [(r.vec_id, r.embedding) for r in table(spark, SMALL, "embeddings").collect()]
+    want, got = brute_nearest(items, {i for i, _ in items if i is not None and i % 20 == 0}, 20), {}
+    for r in queries.op5_ann(spark, SMALL).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    assert got.keys() == want.keys()
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.97 * sum(map(len, want.values()))
+    assert all(dict(want[q]).get(i, s) == pytest.approx(s, abs=1e-12) for q in got for i, s in got[q])
+
+
+def test_query_6(spark, small):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter((i, len(text.encode()), len(model.encode(text)), len(model.encode(text)) > 4096) for i, text in small.items())
+    assert rows(queries.op6_token_counts(spark, SMALL).select("doc_id", "n_bytes", "n_tokens", "over_limit")) == want
+
+
+def test_query_8(spark, small):
+    extra = {}
+    for (row, kind, a, b), _ in brute_bootstrap(sorted(set(small.values()))).items():
+        extra.setdefault(row, []).append((kind, a, b))
+    want = Counter()
+    for i, text in small.items():
+        spans = brute_spans(text)
+        joined = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in x)
+        more = sorted(extra.get(hashlib.sha256(text.encode()).hexdigest()[:32], ()))
+        want[(i, *(sum(s[0] == k for s in spans) for k in FORMS), hashlib.sha256(joined(spans).encode()).hexdigest(), joined([*spans, *more]))] += 1
+    assert rows(queries.op8_pii(spark, SMALL).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")) == want
+
+
+def test_query_10(spark, small):
+    items, want = sorted(small.items(), reverse=True), Counter()
+    for k, (i, text) in enumerate(items):
+        after = items[(k + 1) % len(items)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        a, b, c = map(brute_fingerprint, (text, edited, after))
+        want[(i, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, brute_likeness(a, b), brute_likeness(a, c))] += 1
+    assert rows(queries.op10_fingerprints(spark, SMALL).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) == want
+
+
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and T.StructType is not None

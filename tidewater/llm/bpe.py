@@ -167,14 +167,74 @@ class PrefixBPE:
         return data + more, self.table(data + more, cells)
 
     def edit(self, data: bytes, cells: list[int], start: int, end: int, put: bytes) -> tuple[bytes, list[int]]:
-        """Replaces data[start:end]; cells up to start stay as they are."""
+        """Replaces data[start:end]. Cells up to start stay as they are; those after the edit, once as many as the longest token's bytes are what they were, as a cell depends on no others."""
+        shift = len(put) - (end - start)
         data = data[:start] + put + data[end:]
-        return data, self.table(data, cells[: start + 1])
+        new, at = cells[: start + 1], start + len(put)
+        while True:
+            at = min(len(data), at + self.longest)
+            new = self.table(data[:at], new)
+            low = at - self.longest + 1
+            if at == len(data):
+                return data, new
+            if low >= start + len(put) and new[low:] == cells[low - shift : at + 1 - shift]:
+                return data, new + cells[at + 1 - shift :]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+class Document:
+    """A text with its pieces and their tables, kept right under appends and edits.
+
+    An edit splits the text anew from the first piece that could see it, until a piece starts where
+    one did before; of these pieces only what differs is encoded. The pattern may look one
+    character ahead of a piece, and nothing back.
+    """
+
+    def __init__(self, bpe: PrefixBPE, pattern: str, text: str = ""):
+        self.bpe, self.match, self.text = bpe, regex.compile(pattern).finditer, ""
+        self.spans: list[tuple[int, int]] = []
+        self.tables: list[list[int]] = []
+        self.edit(0, 0, text)
+
+    def ids(self) -> list[int]:
+        out: list[int] = []
+        for (a, b), cells in zip(self.spans, self.tables, strict=True):
+            whole = self.bpe.ranks.get(self.text[a:b].encode())  # a piece that is a token is that token
+            out += [whole] if whole is not None else self.bpe.ids(cells)
+        return out
+
+    def append(self, more: str) -> int:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, end: int, put: str) -> int:
+        """Replaces text[start:end]; returns how many pieces were encoded."""
+        old, shift = self.text, len(put) - (end - start)
+        self.text = old[:start] + put + old[end:]
+        first = next((k for k, (_, b) in enumerate(self.spans) if b >= start - 1), len(self.spans))
+        begin = self.spans[first][0] if first < len(self.spans) else min(start, self.spans[-1][1] if self.spans else 0)
+        again = {a + shift: k for k, (a, _) in enumerate(self.spans) if k >= first and a >= end}
+        spans, tables, after = [], [], len(self.spans)
+        for m in self.match(self.text, begin):
+            if m.start() in again and m.start() >= start + len(put):
+                after = again[m.start()]
+                break
+            if m.start() == m.end():
+                continue
+            data = m[0].encode()
+            cells = [-1]
+            if (k := first + len(spans)) < len(self.spans):  # what the old piece at this place begins with
+                was = old[slice(*self.spans[k])].encode()
+                same = next((i for i, (x, y) in enumerate(zip(was, data, strict=False)) if x != y), min(len(was), len(data)))
+                cells = self.tables[k][: same + 1]
+            spans.append(m.span())
+            tables.append(cells if len(cells) == len(data) + 1 else self.bpe.table(data, cells))
+        self.spans[first:] = [*spans, *((a + shift, b + shift) for a, b in self.spans[after:])]
+        self.tables[first:] = [*tables, *self.tables[after:]]
+        return len(spans)
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0] + 1, ... (lengths[0] of them), starts[1], ..."""
     before = np.cumsum(lengths) - lengths
