@@ -1,5 +1,6 @@
 """Catalogs, service, command line, streams and the entry point."""
 
+import datetime
 import json
 import threading
 import urllib.error
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewater import __main__ as cli
 from tidewater import scan
-from tidewater.catalog import RestCatalog, SessionCatalog, targets_of
+from tidewater.catalog import RestCatalog, SessionCatalog, client, targets_of
+from tidewater.functions.signing import Credentials, signed
 from tidewater.model import TableError
 from tidewater.plans import catalogue
 from tidewater.plans.staging import Log
@@ -105,6 +107,146 @@ def test_rest_catalog(spark, table):
         server.shutdown()
 
 
+def serve(answer):
+    """A server that answers requests with answer(method, path, headers, body): status and JSON."""
+
+    class Stub(BaseHTTPRequestHandler):
+        def _do(self):
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            status, found = answer(self.command, self.path, self.headers, body)
+            data = json.dumps(found).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        do_GET = do_POST = do_DELETE = _do
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_address[1]}"
+
+
+KEYS = Credentials("AKIDEXAMPLE", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY")
+
+
+def test_signatures():
+    """The published example of a plain request."""
+    at = datetime.datetime(2015, 8, 30, 12, 36, tzinfo=datetime.timezone.utc)
+    out = signed("GET", "https://example.amazonaws.com/", {}, b"", "us-east-1", "service", KEYS, at)
+    assert out["Authorization"] == "AWS4-HMAC-SHA256 Credential=AKIDEXAMPLE/20150830/us-east-1/service/aws4_request, SignedHeaders=host;x-amz-date, Signature=5fa00fa31553b73ebf1942676e86291e8372ff2a2260956d9b8aae1d763fbf31"
+    again = lambda **x: signed(**{"method": "GET", "url": "https://e.com/a b?x=1&a=%2F", "headers": {"B": " two  words "}, "body": b"", "region": "r", "service": "s", "credentials": lambda: Credentials("a", "b", "tok"), "now": at} | x)
+    assert again()["x-amz-security-token"] == "tok" and "SignedHeaders=b;host;x-amz-date;x-amz-security-token" in again()["Authorization"]
+    assert again()["Authorization"] == again(headers={"B": "two words"})["Authorization"] != again(body=b"x")["Authorization"]
+
+
+def test_glue(spark, table):
+    tables, parts, seen = {}, {}, []
+
+    def answer(method, path, headers, body):
+        action, b = headers["X-Amz-Target"].removeprefix("AWSGlue."), json.loads(body)
+        seen.append((action, b))
+        assert headers["Authorization"].startswith("AWS4-HMAC-SHA256 Credential=AKIDEXAMPLE/") and "/eu-west-1/glue/" in headers["Authorization"]
+        if action == "GetTable":
+            return (200, {"Table": tables[b["Name"]]}) if b["Name"] in tables else (400, {"__type": "com.x#EntityNotFoundException", "Message": "no"})
+        if action in ("CreateTable", "UpdateTable"):
+            tables[b["TableInput"]["Name"]] = b["TableInput"]
+        if action == "GetTables":
+            names = sorted(tables)
+            at = int(b.get("NextToken", 0))
+            return 200, {"TableList": [tables[names[at]]]} | ({"NextToken": str(at + 1)} if at + 1 < len(names) else {})
+        if action == "GetPartitions":
+            return 200, {"Partitions": list(parts.values())}
+        if action == "BatchCreatePartition":
+            parts.update({tuple(p["Values"]): p for p in b["PartitionInputList"]})
+        if action == "BatchUpdatePartition":
+            parts.update({tuple(p["PartitionValueList"]): p["PartitionInput"] for p in b["Entries"]})
+        if action == "BatchDeletePartition":
+            for p in b["PartitionsToDelete"]:
+                if p["Values"] == ["locked"]:
+                    return 200, {"Errors": [{"PartitionValues": p["Values"], "ErrorDetail": {"ErrorMessage": "it is locked"}}]}
+                parts.pop(tuple(p["Values"]))
+        if action == "DeleteTable":
+            return (200, {}) if tables.pop(b["Name"], None) else (400, {"__type": "EntityNotFoundException"})
+        return 200, {}
+
+    server, uri = serve(answer)
+    try:
+        config = {"type": "glue", "region": "eu-west-1", "endpoint": f"{uri}/", "credentials": KEYS, "database": "db"}
+        result = Controller(spark).sync(Dataset(table, "parquet", ("delta", "iceberg"), catalogs=(config,)))
+        assert [r.catalog_errors for r in result.values()] == [[], []] and set(tables) == {"shop_delta", "shop_iceberg"}
+        assert tables["shop_delta"]["PartitionKeys"] == [{"Name": "c", "Type": "string"}] and tables["shop_delta"]["StorageDescriptor"]["Columns"] == [{"Name": "id", "Type": "bigint"}]
+        assert set(parts) == {("k0",), ("k1",), ("k2",)} and parts[("k1",)]["StorageDescriptor"]["Location"].endswith("/c=k1")
+        glue = client(spark, config)
+        tables["shop_delta"]["Parameters"]["target_formats"] = "hudi"
+        parts[("k0",)]["StorageDescriptor"]["Location"] = "elsewhere"
+        parts[("old",)] = {"Values": ["old"], "StorageDescriptor": {"Location": "x"}}
+        parts.pop(("k2",))
+        seen.clear()
+        glue.register(open_source(spark, "delta", table, name="shop").snapshot())
+        assert set(parts) == {("k0",), ("k1",), ("k2",)} and parts[("k0",)]["StorageDescriptor"]["Location"].endswith("/c=k0")
+        assert [a for a, _ in seen if a.startswith("Batch")] == ["BatchCreatePartition", "BatchUpdatePartition", "BatchDeletePartition"]
+        assert [(d.name, d.source_format, d.target_formats) for d in glue.discover()] == [("shop_delta", "DELTA", ("HUDI",))]
+        assert glue.resolve("shop_delta") == ("DELTA", table)
+        parts[("locked",)] = {"Values": ["locked"], "StorageDescriptor": {"Location": "x"}}
+        with pytest.raises(TableError, match="it is locked"):
+            glue.register(open_source(spark, "delta", table, name="shop").snapshot())
+        dataset = load_config(json.dumps({"tableName": "shop_delta", "targetFormats": ["paimon"], "sourceCatalog": {k: v for k, v in config.items() if k != "credentials"}}))[0]
+        assert Controller(spark, lambda c: glue).sync(dataset)["PAIMON"].verdict == "SUCCESS"
+        glue.drop("shop_delta")
+        glue.drop("shop_delta")
+        assert set(tables) == {"shop_iceberg"}
+        with pytest.raises(TableError, match="EntityNotFound"):
+            glue.resolve("shop_delta")
+    finally:
+        server.shutdown()
+
+
+def test_rest_catalogs_that_ask_for_signatures_or_entra(spark):
+    seen = []
+
+    def answer(method, path, headers, body):
+        seen.append((path, headers.get("Authorization"), body.decode()))
+        return 200, {"access_token": "tok", "expires_in": 60} if path.endswith("/token") else {"metadata": {"location": "s3://w/a", "properties": {"table_type": "DELTA"}}}
+
+    server, uri = serve(answer)
+    try:
+        assert client(spark, {"type": "rest", "auth": "sigv4", "uri": uri, "region": "eu-west-1", "credentials": KEYS}).resolve("a") == ("DELTA", "s3://w/a")
+        assert "/eu-west-1/glue/aws4_request" in seen[-1][1]
+        assert client(spark, {"type": "rest", "auth": "entra", "uri": uri, "authority": uri, "tenant": "t", "client": "me", "secret": "s"}).resolve("a")[0] == "DELTA"
+        token = next(x for x in seen if x[0] == "/t/oauth2/v2.0/token")
+        assert "client_id=me" in token[2] and "scope=https%3A%2F%2Fstorage.azure.com%2F.default" in token[2] and seen[-1][1] == "Bearer tok"
+    finally:
+        server.shutdown()
+    for bad in ({"type": "other"}, {"type": "rest", "auth": "other", "uri": "x"}):
+        with pytest.raises(TableError):
+            client(spark, bad)
+
+
+def test_partitions_of_the_session_catalog(spark, tmp_path):
+    """Added, moved and dropped in few statements, whatever their values hold."""
+    path = str(tmp_path / "odd's")
+    values = ["a'b", "c d", "x/y", None, "100%"]
+    spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id bigint, c string").repartition(1).write.partitionBy("c").parquet(path)
+    catalog, snapshot = SessionCatalog(spark), open_source(spark, "parquet", path, name="odd").snapshot()
+    catalog.register(snapshot)
+    name = "`default`.`odd_parquet`"
+    try:
+        assert {r[0][0] for r in catalog.partitions(name, ["c"]).collect()} == set(values)
+        assert {(r.id, r.c) for r in spark.table("default.odd_parquet").collect()} == set(enumerate(values))
+        before = {tuple(r) for r in map(lambda r: (r[0][0], r[1]), catalog.partitions(name, ["c"]).collect())}
+        spark.sql(f"ALTER TABLE {name} ADD PARTITION (c='gone') LOCATION '{tmp_path}/gone'")
+        spark.sql(f"ALTER TABLE {name} PARTITION (c='c d') SET LOCATION '{tmp_path}/moved'")
+        catalog.register(snapshot)
+        assert {(r[0][0], r[1]) for r in catalog.partitions(name, ["c"]).collect()} == before
+        assert catalog.resolve("odd_parquet")[0] == "PARQUET"
+    finally:
+        catalog.drop(snapshot)
+
+
 def test_service(spark, table):
     service = Service(spark)
     threading.Thread(target=service.run, daemon=True).start()

@@ -1,4 +1,4 @@
-"""Catalogs: the session's own, and Iceberg REST catalogs over HTTP.
+"""Catalogs: the session's own, and Iceberg REST catalogs over HTTP; `glue` has AWS Glue.
 
 A catalog registers a snapshot under a name for each format, so that formats of one table
 don't overwrite one another, and keeps its partitions in step.
@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.functions import schemas
+from tidewater.functions.signing import Credentials, signed
 from tidewater.model import Snapshot, TableError, parse_format
 from tidewater.operators.files import diff_partitions, in_batches, partitions_of
 from tidewater.sync import Dataset
@@ -26,6 +27,13 @@ TARGETS = "target_formats"
 FORMAT = "source_table_format"
 
 
+MISSING = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def format_of(properties: dict[str, str]) -> str:
     """table_type, else the provider that Spark notes."""
     return parse_format(properties.get("table_type") or properties.get("spark.sql.sources.provider") or "")
@@ -52,14 +60,13 @@ class SessionCatalog:
 
     def register(self, snapshot: Snapshot) -> None:
         t, name = snapshot.table, self._name(snapshot)
-        quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
         properties = {FORMAT: t.format, "source_id": snapshot.source_id}
-        listed = ", ".join(f"{quoted(k)}={quoted(v)}" for k, v in properties.items())
+        listed = ", ".join(f"{_quoted(k)}={_quoted(v)}" for k, v in properties.items())
         if not self.spark.catalog.tableExists(name.replace("`", "")):
             data, parts = schemas.hive_columns(t.schema, t.partition_columns)
             columns = ", ".join(f"`{n}` {k}" for n, k in [*data, *parts])
             by = f"PARTITIONED BY ({', '.join(f'`{n}`' for n, _ in parts)})" if parts else ""
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {by} LOCATION {quoted(t.base_path)} TBLPROPERTIES ({listed})")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {by} LOCATION {_quoted(t.base_path)} TBLPROPERTIES ({listed})")
         else:
             self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({listed})")
         if t.partition_columns:
@@ -69,32 +76,42 @@ class SessionCatalog:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._name(snapshot)}")
 
     def partitions(self, name: str, columns: list[str]) -> DataFrame:
-        specs = [r[0] for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()]
+        """values and location of each, in one call of the catalog."""
+        jvm, parts = self.spark.sparkContext._jvm, name.replace("`", "").split(".")
+        java = jvm.scala.jdk.javaapi.CollectionConverters.asJava
+        table = jvm.org.apache.spark.sql.catalyst.TableIdentifier(parts[1], jvm.scala.Option.apply(parts[0]))
         rows = []
-        for spec in specs:
-            values = dict(x.split("=", 1) for x in spec.split("/"))
-            values = {k: urllib.parse.unquote(v) for k, v in values.items()}
-            told = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name} PARTITION ({self._spec(columns, [values[c] for c in columns])})").collect()
-            location = next((r.data_type for r in told if r.col_name == "Location"), "")
-            rows.append(([values[c] for c in columns], location.removeprefix("file:")))
+        for p in java(self.spark._jsparkSession.sessionState().catalog().listPartitions(table, jvm.scala.Option.empty())):
+            values = dict(java(p.spec()))
+            location = p.storage().locationUri()
+            rows.append(([None if values[c] == MISSING else values[c] for c in columns], urllib.parse.unquote(location.get().toString()).removeprefix("file:") if location.isDefined() else ""))
         return self.spark.createDataFrame(rows, "values array<string>, location string")
 
     @staticmethod
     def _spec(columns: list[str], values: list[str | None]) -> str:
-        return ", ".join(f"`{c}`='{(v if v is not None else '__HIVE_DEFAULT_PARTITION__').replace(chr(39), chr(92) + chr(39))}'" for c, v in zip(columns, values, strict=True))
+        return "PARTITION (" + ", ".join(f"`{c}`={_quoted(v if v is not None else MISSING)}" for c, v in zip(columns, values, strict=True)) + ")"
 
     def sync_partitions(self, name: str, columns: list[str], desired: DataFrame) -> None:
-        """Tries all events, in batches; then tells all errors at once."""
-        events = diff_partitions(self.partitions(name, columns), desired)
-        acts: dict[str, Callable[[Any], str]] = {
-            "ADD": lambda r: f"ADD IF NOT EXISTS PARTITION ({self._spec(columns, r['values'])}) LOCATION '{r.location}'",
-            "UPDATE": lambda r: f"PARTITION ({self._spec(columns, r['values'])}) SET LOCATION '{r.location}'",
-            "DROP": lambda r: f"DROP IF EXISTS PARTITION ({self._spec(columns, r['values'])})",
+        """Tries all events, additions and removals in statements of a batch each; then tells all errors at once."""
+        events = diff_partitions(self.partitions(name, columns), desired).persist()
+        run = lambda text: self.spark.sql(f"ALTER TABLE {name} {text}")
+        acts: dict[str, Callable[[list[Any]], Any]] = {
+            "ADD": lambda rows: run("ADD IF NOT EXISTS " + " ".join(f"{self._spec(columns, r['values'])} LOCATION {_quoted(r.location)}" for r in rows)),
+            "UPDATE": lambda rows: [run(f"{self._spec(columns, r['values'])} SET LOCATION {_quoted(r.location)}") for r in rows],
+            "DROP": lambda rows: run("DROP IF EXISTS " + ", ".join(self._spec(columns, r["values"]) for r in rows)),
         }
-        errors = in_batches(events.toLocalIterator(), self.batch, lambda rows: [self.spark.sql(f"ALTER TABLE {name} {acts[r.event](r)}") for r in rows])
+        errors = [e for event, act in acts.items() for e in in_batches(events.where(events["event"] == event).toLocalIterator(), self.batch, act)]
+        events.unpersist()
         if errors:
             raise TableError("; ".join(map(str, errors)))
 
+    def resolve(self, name: str) -> tuple[str, str]:
+        """Format and location."""
+        at = f"`{self.database}`.`{name}`"
+        properties = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {at}").collect()}
+        facts = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {at}").collect()}
+        return parse_format(properties.get(FORMAT) or facts.get("Provider", "")), facts["Location"].removeprefix("file:")
+
     def discover(self, marker: str = TARGETS) -> list[Dataset]:
         """All tables of the database that name their targets."""
         out = []
@@ -110,9 +127,10 @@ class SessionCatalog:
 
 
 class RestCatalog:
-    """Client of an Iceberg REST catalog. token: a bearer token, or a function that returns one."""
+    """Client of an Iceberg REST catalog. token: a bearer token, or a function that returns one; sign: makes a request's headers from its method, URL, headers and body."""
 
-    def __init__(self, uri: str, warehouse: str = "", token: str | Callable[[], str] = "", headers: dict[str, str] | None = None, database: str = "default", timeout: float = 30):
+    def __init__(self, uri: str, warehouse: str = "", token: str | Callable[[], str] = "", headers: dict[str, str] | None = None, database: str = "default", timeout: float = 30, sign: Callable[[str, str, dict[str, str], bytes], dict[str, str]] | None = None):
+        self.sign = sign
         self.uri, self.warehouse, self.token, self.headers, self.database, self.timeout = uri.rstrip("/"), warehouse, token, dict(headers or {}), database, timeout
         self._config: dict[str, Any] | None = None
 
@@ -135,13 +153,26 @@ class RestCatalog:
 
         return cls(uri, token=token, **more)
 
+    @classmethod
+    def with_entra(cls, uri: str, tenant: str, client: str, secret: str, scope: str = "https://storage.azure.com/.default", authority: str = "https://login.microsoftonline.com", **more: Any) -> RestCatalog:
+        """Microsoft Entra's client credentials."""
+        return cls.with_client_credentials(uri, f"{client}:{secret}", f"{authority.rstrip('/')}/{tenant}/oauth2/v2.0/token", scope, **more)
+
+    @classmethod
+    def with_signatures(cls, uri: str, region: str, service: str = "glue", credentials: Any = Credentials.of_environment, **more: Any) -> RestCatalog:
+        """Requests signed as AWS asks for."""
+        return cls(uri, sign=lambda method, url, headers, body: signed(method, url, headers, body, region, service, credentials), **more)
+
     def _call(self, method: str, path: str, body: dict[str, Any] | None = None, prefix: bool = True, headers: dict[str, str] | None = None, **query: str) -> tuple[int, dict[str, Any]]:
         at = f"{self.uri}/v1" + (f"/{p}" if prefix and (p := self.prefix()) else "") + path
         if query := {k.replace("_", "-") if k == "page_token" else k: v for k, v in query.items() if v}:
             at += "?" + urllib.parse.urlencode({"pageToken" if k == "page-token" else k: v for k, v in query.items()})
         token = self.token() if callable(self.token) else self.token
         sent = {"Content-Type": "application/json"} | self.headers | (headers or {}) | ({"Authorization": f"Bearer {token}"} if token else {})
-        request = urllib.request.Request(at, json.dumps(body).encode() if body is not None else None, sent, method=method)
+        data = json.dumps(body).encode() if body is not None else None
+        if self.sign:
+            sent = self.sign(method, at, sent, data or b"")
+        request = urllib.request.Request(at, data, sent, method=method)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                 data = answer.read()
@@ -208,6 +239,11 @@ class RestCatalog:
         location = meta.get("location") or at.rpartition("/metadata/")[0]
         return {"location": location, "metadata_location": at, "properties": meta.get("properties") or {}, "credentials": body.get("config") or {}}
 
+    def resolve(self, name: str) -> tuple[str, str]:
+        """Format and location."""
+        found = self.load(name)
+        return parse_format(found["properties"].get("table_type") or "ICEBERG"), found["location"]
+
     def _pages(self, path: str, key: str) -> Iterator[Any]:
         page = ""
         while True:
@@ -227,3 +263,24 @@ class RestCatalog:
                 found = self.load(t["name"], space)
                 if found["properties"].get(marker, "").strip():
                     yield Dataset(found["location"], found["properties"].get("table_type") or "ICEBERG", targets_of(found["properties"], marker), t["name"])
+
+
+def client(spark: SparkSession, config: Any) -> Any:
+    """A catalog from its configuration: {"type": "session", "rest" or "glue"} and what its class takes; a catalog is itself. auth of a REST catalog: "entra" or "sigv4", with what these take."""
+    if not isinstance(config, dict):
+        return config
+    more = dict(config)
+    kind = str(more.pop("type", "session")).lower()
+    if kind == "session":
+        return SessionCatalog(spark, **more)
+    if kind == "rest":
+        make = {"": RestCatalog, "oauth2": RestCatalog.with_client_credentials, "entra": RestCatalog.with_entra, "sigv4": RestCatalog.with_signatures}
+        auth = str(more.pop("auth", "")).lower()
+        if auth not in make:
+            raise TableError(f"unknown authentication {auth!r} of a catalog; known: {', '.join(x for x in make if x)}")
+        return make[auth](**more)
+    if kind == "glue":
+        from tidewater.glue import GlueCatalog
+
+        return GlueCatalog(spark, **more)
+    raise TableError(f"unknown catalog {kind!r}; known: session, rest, glue")

@@ -21,7 +21,7 @@ MODES = ("INCREMENTAL", "FULL")
 
 @dataclass(frozen=True)
 class Dataset:
-    """One table to sync. data_path: where data files lie, if not below the base path."""
+    """One table to sync. data_path: where data files lie, if not below the base path. source_catalog: a catalog, or its configuration, that tells the path and format of table_name. catalogs: those that targets are registered in."""
 
     base_path: str
     source_format: str
@@ -30,6 +30,7 @@ class Dataset:
     data_path: str = ""
     mode: str = "INCREMENTAL"
     catalogs: tuple[Any, ...] = ()
+    source_catalog: Any = None
 
     @property
     def name(self) -> str:
@@ -61,7 +62,7 @@ def load_config(text: str) -> list[Dataset]:
     for d in found:
         name = lambda *keys: next((d[k] for k in keys if d.get(k)), "")  # noqa: B023, E731
         formats = name("target_formats", "targetFormats")
-        out.append(Dataset(name("base_path", "basePath", "tableBasePath"), name("source_format", "sourceFormat"), tuple(formats.split(",") if isinstance(formats, str) else formats), name("table_name", "tableName"), name("data_path", "tableDataPath"), name("mode", "syncMode") or "INCREMENTAL"))
+        out.append(Dataset(name("base_path", "basePath", "tableBasePath"), name("source_format", "sourceFormat"), tuple(formats.split(",") if isinstance(formats, str) else formats), name("table_name", "tableName"), name("data_path", "tableDataPath"), name("mode", "syncMode") or "INCREMENTAL", tuple(d.get("catalogs") or d.get("targetCatalogs") or ()), name("source_catalog", "sourceCatalog") or None))
     return out
 
 
@@ -131,8 +132,18 @@ class Controller:
     def __init__(self, spark: SparkSession, catalogs: Callable[[Any], Any] | None = None):
         self.spark, self.catalogs = spark, catalogs
 
+    def _catalog(self, config: Any) -> Any:
+        if self.catalogs:
+            return self.catalogs(config)
+        from tidewater.catalog import client
+
+        return client(self.spark, config)
+
     def sync(self, dataset: Dataset, dry_run: bool = False) -> dict[str, Result]:
         """A failing target doesn't stop the others; a source that can't be read raises."""
+        if dataset.source_catalog is not None:
+            found, path = self._catalog(dataset.source_catalog).resolve(dataset.table_name)
+            dataset = replace(dataset, source_format=dataset.source_format or found, base_path=dataset.base_path or path)
         dataset = dataset.checked()
         source = open_source(self.spark, dataset.source_format, dataset.data_path or dataset.base_path, name=dataset.name)
         once = _Once(source)
@@ -185,9 +196,8 @@ class Controller:
         """Errors of catalogs are told, but the table was synced."""
         for config in dataset.catalogs:
             try:
-                client = self.catalogs(config) if self.catalogs else config
-                snapshot = open_source(self.spark, format, dataset.base_path).snapshot()
-                client.register(snapshot)
+                snapshot = open_source(self.spark, format, dataset.base_path, name=dataset.name).snapshot()
+                self._catalog(config).register(snapshot)
             except Exception as e:
                 result.catalog_errors.append(f"{type(e).__name__}: {e}")
 
