@@ -503,3 +503,35 @@ def test_unknown_reader_features_are_refused(spark, tmp_path, protocol):
     _write_log(tmp_path / "t", [{"protocol": protocol | {"minWriterVersion": 7}}, _meta([{"name": "id", "type": "long", "nullable": True, "metadata": {}}])])
     with pytest.raises(TableError, match="reader"):
         open_source(spark, "delta", str(tmp_path / "t")).snapshot()
+
+
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_checkpoints_of_version_2(spark, tmp_path, kind):
+    """Actions stand in sidecars; the checkpoint names them, and has a name of its own."""
+    path = tmp_path / "t"
+    field = [{"name": "id", "type": "long", "nullable": True, "metadata": {}}]
+    add = lambda i: {"add": {"path": f"f{i}.parquet", "partitionValues": {}, "size": i, "modificationTime": 1, "dataChange": True, "stats": json.dumps({"numRecords": i})}}
+    protocol = {"protocol": {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": ["v2Checkpoint"], "writerFeatures": ["v2Checkpoint"]}}
+    _write_log(path, [protocol, _meta(field), add(1), add(2), add(3)], [{"remove": {"path": "f2.parquet", "dataChange": True}}], [add(4), {"commitInfo": {"timestamp": 77}}])
+    log = path / "_delta_log"
+    adds = spark.createDataFrame([(add(i)["add"],) for i in (1, 3)], "add struct<path:string,partitionValues:map<string,string>,size:bigint,modificationTime:bigint,stats:string>")
+    adds.coalesce(1).write.parquet(str(tmp_path / "side"))
+    (log / "_sidecars").mkdir()
+    next((tmp_path / "side").glob("*.parquet")).rename(log / "_sidecars" / "s1.parquet")
+    name = f"{1:020d}.checkpoint.80a083e8-7026.{kind}"
+    top = [json.dumps(protocol), json.dumps(_meta(field)), json.dumps({"sidecar": {"path": "s1.parquet", "sizeInBytes": 5, "modificationTime": 1}}), json.dumps({"checkpointMetadata": {"version": 1}})]
+    if kind == "json":
+        (log / name).write_text("\n".join(top) + "\n")
+    else:
+        (tmp_path / "top.json").write_text("\n".join(top))
+        shape = "protocol struct<minReaderVersion:int,minWriterVersion:int,readerFeatures:array<string>>, metaData struct<id:string,schemaString:string,partitionColumns:array<string>,configuration:map<string,string>>, sidecar struct<path:string,sizeInBytes:bigint>, checkpointMetadata struct<version:bigint>"
+        spark.read.schema(shape).json(str(tmp_path / "top.json")).coalesce(1).write.parquet(str(tmp_path / "top"))
+        next((tmp_path / "top").glob("*.parquet")).rename(log / name)
+    (log / "_last_checkpoint").write_text(json.dumps({"version": 1, "size": 5, "v2Checkpoint": {"path": name}}))
+    for v in (0, 1):
+        (log / f"{v:020d}.json").unlink()
+    source = open_source(spark, "delta", str(path))
+    assert sorted(r.record_count for r in source.snapshot().files.collect()) == [1, 3, 4] and source.history() == [("2", 77)]
+    (log / "_sidecars" / "s1.parquet").unlink()
+    with pytest.raises(Exception):
+        source.snapshot().files.count()

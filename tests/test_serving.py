@@ -19,6 +19,7 @@ from tidewater.plans import catalogue
 from tidewater.plans.staging import Log
 from tidewater.service import Service
 from tidewater.sources import open_source
+from tidewater.streaming import feed
 from tidewater.streaming.changes import Daemon, added_rows, follow
 from tidewater.sync import Controller, Dataset, load_config
 
@@ -330,3 +331,33 @@ def test_entry_point(spark, tmp_path):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 30
+
+
+def test_changes_by_version_as_a_stream(spark, tmp_path):
+    """Each version once, also after a restart; windows and watermarks; a gap is an error."""
+    path, checkpoint, out = str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "out")
+    log = Log(spark, path)
+    log.commit(spark.range(3))
+    log.commit(spark.range(4))
+
+    def bring():
+        stream = feed.changes(spark, path).withWatermark("time", "10 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+        return sorted((r.version, r.op, r.record_count, r.time.timestamp()) for r in spark.read.parquet(out).collect())
+
+    assert bring() == [(0, "ADD", 3, 1.0), (1, "ADD", 4, 2.0)]
+    log.commit(remove=open_source(spark, "delta", path).snapshot("0").files)
+    assert bring() == [(0, "ADD", 3, 1.0), (1, "ADD", 4, 2.0), (2, "REMOVE", None, 3.0)]
+    counted = feed.changes(spark, path, 1).withWatermark("time", "0 seconds").groupBy(F.window("time", "1 second")).agg(F.count("*").alias("n"))
+    stream = counted.writeStream.format("memory").queryName("windows").outputMode("append").start()
+    stream.processAllAvailable()
+    stream.stop()
+    assert [(r.window.start.timestamp(), r.n) for r in spark.table("windows").collect()] == [(2.0, 1)]
+    (tmp_path / "t" / "_delta_log" / f"{1:020d}.json").unlink()
+    reader = feed.Reader({"path": path})
+    assert reader.latestOffset() == {"version": 1}
+    with pytest.raises(TableError, match="lost version 1"):
+        reader.partitions({"version": 0}, {"version": 3})

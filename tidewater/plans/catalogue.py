@@ -14,6 +14,7 @@ from tidewater.model import FILES
 from tidewater.operators import files as op
 from tidewater.plans.staging import Log, directory, folder, once, synced, table
 from tidewater.sources import open_source, open_target
+from tidewater.streaming import feed
 from tidewater.streaming.changes import added_rows, follow
 from tidewater.sync import Controller, Dataset
 
@@ -265,6 +266,24 @@ def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan(spark, path, "iceberg").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id % 3 AS version, 'ADD' AS op, count(*)::BIGINT AS records FROM events GROUP BY 1 UNION ALL SELECT 3, 'REMOVE', 0::BIGINT")
+def stream_version_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes by version from a stream source, with a watermark, in windows of a second."""
+    path, out = _thirds(spark, sf_dir), folder(spark)
+
+    def make(_: str) -> None:
+        found = feed.changes(spark, path).withWatermark("time", "1 hour")
+        stream = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder(spark)}/checkpoint").start()
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+
+    make(path)
+    rows = spark.read.parquet(out).groupBy(F.window("time", "1 second"), "version", "op").agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"))
+    return rows.select("version", "op", "records")
+
+
 @query("SELECT l_returnflag, count(*)::BIGINT AS records FROM lineitem GROUP BY 1")
 def side_car_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the Parquet target's manifest lists."""

@@ -64,19 +64,31 @@ class Source(base.Source):
     def _checkpoint(self, checkpoint: dict) -> DataFrame:
         """Rows of a checkpoint as actions before any commit."""
         v, n = checkpoint["version"], checkpoint.get("parts")
-        if checkpoint.get("v2Checkpoint"):
-            raise TableError("checkpoints of version 2 are not read")
         names = [f"{LOG}/{v:020d}.checkpoint.{i:010d}.{n:010d}.parquet" for i in range(1, n + 1)] if n else [f"{LOG}/{v:020d}.checkpoint.parquet"]
+        if not n and not self.store.exists(names[0]):  # version 2: a name of its own, told by the hint or found in the log
+            told = ((checkpoint.get("v2Checkpoint") or {}).get("path") or "").rpartition("/")[2]
+            there = [f.name for f in self.store.list(LOG) if re.fullmatch(rf"{v:020d}\.checkpoint\..+\.(parquet|json)", f.name)]
+            names = [f"{LOG}/{x}" for x in ([told] if told in there else there[:1])] or names
         for name in names:
             if not self.store.exists(name):
                 raise TableError(f"checkpoint {name} of {self.base} is missing")
-        raw = self.spark.read.parquet(*map(self.store.full, names))
-        if {"sidecar", "checkpointMetadata"} & set(raw.columns):
-            raise TableError("checkpoints with sidecars are not read")
-        # read by name, as writers differ in what they keep
-        rows = self.spark.read.schema(T.StructType([f for f in _actions_schema() if f.name in raw.columns and f.name in ("protocol", "metaData", "add")])).parquet(*map(self.store.full, names))
+        rows = self._checkpoint_rows(list(map(self.store.full, names)))
+        if "sidecar" in rows.columns:
+            side = [r.path for r in rows.where("sidecar IS NOT NULL").select("sidecar.path").collect()]  # a file of many actions each
+            rows = rows.drop("sidecar")
+            if side:
+                rows = rows.unionByName(self._checkpoint_rows([self.store.full(f"{LOG}/_sidecars/{x}") if "/" not in x else x for x in side]).drop("sidecar"), allowMissingColumns=True)
         return rows.withColumn("version", F.lit(v).cast("bigint")).withColumn("pos", F.lit(0).cast("bigint"))
 
+    def _checkpoint_rows(self, names: list[str]) -> DataFrame:
+        """Actions, and in version 2 the names of further files; read by name, as writers differ in what they keep."""
+        wanted = [f for f in _actions_schema() if f.name in ("protocol", "metaData", "add")]
+        wanted.append(T.StructField("sidecar", T.StructType([T.StructField("path", T.StringType())])))
+        if names[0].endswith(".json"):
+            return self.spark.read.schema(T.StructType(wanted)).json(names)
+        raw = self.spark.read.parquet(*names)
+        return self.spark.read.schema(T.StructType([f for f in wanted if f.name in raw.columns])).parquet(*names)
+
     def _commits(self, files: list[str]) -> DataFrame:
         """version, pos and the actions of these commits. Lines are split among tasks; pos grows within a commit."""
         text = self.spark.read.text(files).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("bigint").alias("version"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("pos"))
