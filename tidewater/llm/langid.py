@@ -118,8 +118,8 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 Counts = tuple[np.ndarray, np.ndarray]
 
 
-def train(rows: list[Counts], labels: list[str], held: np.ndarray, words: list[Counts], ciphered: list[Counts], width: int = 16, epochs: int = 12, rate: float = 20.0, batch: int = 32) -> Model:
-    """rows: buckets and their counts in each text; words: the same of its runs; ciphered: of the runs of the ciphered text, for held rows."""
+def train(rows: list[Counts], labels: list[str], held: np.ndarray, words: list[Counts], ciphered: list[Counts], width: int = 16, steps: int = 900, rate: float = 20.0, batch: int = 32) -> Model:
+    """As many steps for a small sample as for a large one. rows: buckets and their counts in each text; words: the same of its runs; ciphered: of the runs of the ciphered text, for held rows."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
@@ -130,6 +130,7 @@ def train(rows: list[Counts], labels: list[str], held: np.ndarray, words: list[C
     fit, held = np.flatnonzero(~held), np.flatnonzero(held)
     embed = draw.normal(0, 0.5, (BUCKETS, width)).astype(np.float32)
     out, bias = np.zeros((width, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    epochs = -(-steps * batch // max(1, len(fit)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         fit = draw.permutation(fit)
