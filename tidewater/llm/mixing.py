@@ -11,7 +11,8 @@ range-sorted by it.
 
 Running sums over a source come in two steps, over ranges of the digest and within each
 range, so that a source of any size is spread over many tasks: 4,096 ranges, or 16 or 256
-times as many once a source could have more than 100,000 documents in one. Only DataFrame
+times as many once a source could have more than 100,000 documents in one. A range's start
+is a row that stands before its documents, so that these are joined to nothing. Only DataFrame
 functions are used, and the one table that a single task sees has a row for each source.
 Rows that repeat a key share a range, as null keys of a source do.
 
@@ -95,9 +96,11 @@ def plan(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source
     before = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
     goals = targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), schedules, cap, budget)
-    starts = ranges.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select(F.col("r.source").alias("__s"), F.col("r.range").alias("__r"), "before", "source_size", "weight", "pieces", "target")
-    placed = rows.withColumn("__in", F.coalesce(F.sum("size").over(Window.partitionBy("__source", "__range").orderBy("__digest", "__key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = placed.join(starts, placed["__source"].eqNullSafe(starts["__s"]) & (placed["__range"] == starts["__r"]))
+    starts = ranges.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select(F.col("r.source").alias("__source"), F.col("r.range").alias("__range"), F.struct("before", "source_size", "weight", "pieces", "target").alias("__start"), F.lit(0).alias("__turn"))
+    # what a range starts with is its first row, so that whole rows meet it in the exchange that they need anyway
+    inside = Window.partitionBy("__source", "__range").orderBy("__turn", "__digest", "__key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__turn", F.lit(1)).unionByName(starts, allowMissingColumns=True).withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("__of", F.first("__start").over(inside))
+    joined = placed.where(F.col("__turn") == 1).select("__row", "size", "__in", "__of.*")
     at, whole = F.col("before") + F.col("__in"), F.floor("target")
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     partly = F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("__passes") * F.col("source_size") - F.col("__at")))
