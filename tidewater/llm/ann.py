@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shuffle_partitions, slices
+from tidewater.llm.common import shuffle_partitions, slices, tidy
 
 CENTRES = 16
 #: A residual's part along the vector weighs as if inner products from this share of the norms on count.
@@ -202,6 +202,6 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                     found = list(ready.search(part.column(2).to_numpy(), matrix(part), k, depth))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found])), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
 
-        found = dealt.repartition(max(blocks, shuffle_partitions(df.sparkSession)), "block").sortWithinPartitions("block", "asks").mapInArrow(run, out)
+        found = dealt.repartition(max(blocks, shuffle_partitions(df.sparkSession)), "block").sortWithinPartitions("block", "asks").mapInArrow(tidy(run), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import raw, slices
+from tidewater.llm.common import raw, slices, tidy
 
 #: Rank above all others.
 NEVER = 1 << 60
@@ -533,4 +533,4 @@ def encode_frame(df: DataFrame, path: str, pattern: str, text: str = "text", kee
                     columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids])
 
-    return df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text")).mapInArrow(tidy(run), schema)

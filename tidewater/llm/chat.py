@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewater.llm.bpe import spread
-from tidewater.llm.common import shuffle_partitions, slices
+from tidewater.llm.common import shuffle_partitions, slices, tidy
 
 START, MIDDLE, END = "<|turn|>", "<|says|>", "<|done|>"
 #: Control strings of this template and of others: first character and rest.
@@ -133,7 +133,7 @@ def format_frame(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
             yield finish(convs, parts)
 
     sorted_rows = rows.repartition(shuffle_partitions(spark), "conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return sorted_rows.mapInArrow(run, f"conv_id bigint, {FORMATTED}")
+    return sorted_rows.mapInArrow(tidy(run), f"conv_id bigint, {FORMATTED}")
 
 
 def read(formatted: str) -> list[tuple[str, str]]:
@@ -157,4 +157,4 @@ def read_frame(df: DataFrame) -> DataFrame:
             n, digest, chars, learned, size = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(chars, pa.int64()), pa.array(learned, pa.string()), pa.array(size, pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return df.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return df.select("conv_id", "formatted", "loss").mapInArrow(tidy(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

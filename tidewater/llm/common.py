@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,8 +72,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, after which the worker gives back what it no longer uses: Spark keeps workers for later tasks, beside other stages' workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 _SIGN = np.uint64(1 << 63)
@@ -103,7 +115,7 @@ def ranges(sizes: DataFrame, most: int, least: int = 1) -> np.ndarray:
                 np.add.at(sums, which, n)
                 yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(sums)], ["code", "n"])
 
-        found = sizes.select("at", "n").mapInArrow(add, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()
+        found = sizes.select("at", "n").mapInArrow(tidy(add), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()
         again = []
         for code, n in sorted(found):
             k, place = divmod(code, bins)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import by_size
-from tidewater.llm.common import slices
+from tidewater.llm.common import slices, tidy
 
 BITS = 13
 BUCKETS = 1 << BITS
@@ -223,9 +223,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
                 counts[k] += [(at[i].values.to_numpy(), n[i].values.to_numpy()) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(counts[0], langs, np.array(draws, np.int64) % 5 == 0, counts[1], counts[2]))], pa.binary())], ["model"])
 
-    counted = sample.mapInArrow(count, f"draw bigint, key {df.schema[key].dataType.simpleString()}, lang string, {', '.join(f'{x} array<int>' for x in lists)}")
+    counted = sample.mapInArrow(tidy(count), f"draw bigint, key {df.schema[key].dataType.simpleString()}, lang string, {', '.join(f'{x} array<int>' for x in lists)}")
     rows = counted.orderBy("draw", "key", "lang", "rows_at").limit(most)
-    return pickle.loads(rows.mapInArrow(learn, "model binary").collect()[0].model)
+    return pickle.loads(rows.mapInArrow(tidy(learn), "model binary").collect()[0].model)
 
 
 def held_out(key: Column) -> Column:
@@ -253,4 +253,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     fields = [df.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
-    return df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text")).mapInArrow(tidy(run), schema)

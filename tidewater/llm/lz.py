@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import range_of, ranges, shuffle_partitions, slices
+from tidewater.llm.common import range_of, ranges, shuffle_partitions, slices, tidy
 
 #: Hashes of a fingerprint.
 KEPT = 64
@@ -106,7 +106,7 @@ def fingerprint_frame(df: DataFrame, text: str = "text", out: str = "fingerprint
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(fingerprint, batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.string())], [*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def compare_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 128_000_000) -> DataFrame:
@@ -174,5 +174,5 @@ def compare_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", m
         if chunk:
             yield judge(chunk)
 
-    dealt = rows.mapInArrow(deal, "bucket int, tail boolean, id bigint, no_id boolean, text string")
-    return dealt.repartitionById(max(1, len(starts)), "bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "text").mapInArrow(run, schema)
+    dealt = rows.mapInArrow(tidy(deal), "bucket int, tail boolean, id bigint, no_id boolean, text string")
+    return dealt.repartitionById(max(1, len(starts)), "bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), "text").mapInArrow(tidy(run), schema)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import by_size
-from tidewater.llm.common import raw, remove, shuffle_partitions, slices, work_dir
+from tidewater.llm.common import raw, remove, shuffle_partitions, slices, tidy, work_dir
 
 _BASE = 0x5DEECE66D2B3A6B5
 #: Keys of so many nodes give pairs at once; larger ones go to blocks.
@@ -279,7 +279,7 @@ def _compare(work: _Work, pairs: DataFrame, texts: DataFrame, words: int, limit:
                     linked.append(100 * shared >= limit.percent * (len(base) + len(own) - shared))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return work.put(rows.repartition(parts, "a", "copy").sortWithinPartitions("a", "copy", "member").mapInArrow(run, "a bigint, b bigint, linked boolean"), "compared")
+    return work.put(rows.repartition(parts, "a", "copy").sortWithinPartitions("a", "copy", "member").mapInArrow(tidy(run), "a bigint, b bigint, linked boolean"), "compared")
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -362,8 +362,8 @@ def _prepared(df: DataFrame, key: str, text: str, words: int, percent: int) -> t
                 key_, row = _flat_keys(hashes, sizes, limit)
                 yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(found[row]), pa.array(votes(sizes, limit)[row], pa.int64())], ["key", "node", "votes"])
 
-    described = work.put(rows.mapInArrow(describe, "id bigint, text_key bigint, node bigint, n bigint"), "documents")
-    dealt = rows.select("text").mapInArrow(emit, "key bigint, node bigint, votes bigint")
+    described = work.put(rows.mapInArrow(tidy(describe), "id bigint, text_key bigint, node bigint, n bigint"), "documents")
+    dealt = rows.select("text").mapInArrow(tidy(emit), "key bigint, node bigint, votes bigint")
     same = Window.partitionBy("key")
     between = dealt.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low < high").drop("low", "high")
     shared = work.put(between.distinct(), "shared")
@@ -423,7 +423,7 @@ def _sketched(work: _Work, rows: DataFrame, texts: DataFrame, words: int, limit:
                         packed = pa.Array.from_buffers(pa.binary(), len(now), [None, ends.buffers()[1], pa.py_buffer(sent.tobytes())])
                         yield pa.RecordBatch.from_arrays([pa.array(key[now]), pa.array(members[now]), pa.array(node[row[now]]), pa.array(sizes[row[now]], pa.int64()), packed], ["key", "members", "node", "n", "sketch"])
 
-    return work.put(texts.join(kept, "node").select("node", "text", "keys").mapInArrow(run, "key bigint, members bigint, node bigint, n bigint, sketch binary"), "sketches")
+    return work.put(texts.join(kept, "node").select("node", "text", "keys").mapInArrow(tidy(run), "key bigint, members bigint, node bigint, n bigint, sketch binary"), "sketches")
 
 
 def possible(sketch: np.ndarray, n: np.ndarray, label: np.ndarray, chunk: np.ndarray, limit: Limit, every: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -493,7 +493,7 @@ def _pairs_of_many(hot: DataFrame, label: DataFrame | None, limit: Limit, every:
         if parts:
             yield block(parts)
 
-    return cut.repartition(shuffle_partitions(hot.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return cut.repartition(shuffle_partitions(hot.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _grouped(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:

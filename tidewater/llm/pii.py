@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, written
+from tidewater.llm.common import slices, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 _domain = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -199,7 +199,7 @@ def least_share(some: Column, n: Column) -> Column:
 def bootstrap(df: DataFrame, text: str = "text", support: int = 5, sure: float = 0.6, share: float = 0.55) -> DataFrame:
     """Spans that trusted patterns find: row (digest of the text), kind, start, end."""
     spark = df.sparkSession
-    seen = written(spark, df.select(df[text].cast("string")).mapInArrow(_instances, GRAPH), "pii-graph")
+    seen = written(spark, df.select(df[text].cast("string")).mapInArrow(tidy(_instances), GRAPH), "pii-graph")
     edges = seen.where("whole").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))  # a value is an instance of a pattern once, and a part of it isn't another
     edges = written(spark, edges, "pii-edges")
     size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
@@ -250,7 +250,7 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             marks = batch.column(k + 1) if batch.num_columns > k + 1 else pa.nulls(batch.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(listed, pa.string()), marks], [*keep, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "__base", "__row"])
 
-    base = rows.mapInArrow(run, schema)
+    base = rows.mapInArrow(tidy(run), schema)
     if extra is None:
         return base.withColumnRenamed("__base", "spans").drop("__row")
     more = F.array_join(F.transform("__extra", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -281,5 +281,5 @@ def redact_frame(df: DataFrame, text: str = "text") -> DataFrame:
                 texts = pa.array([redact(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
 
-    done = found.select("row", "text", "spans").mapInArrow(run, packed.schema)
+    done = found.select("row", "text", "spans").mapInArrow(tidy(run), packed.schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import by_size
-from tidewater.llm.common import exists, raw, slices, written
+from tidewater.llm.common import exists, raw, slices, tidy, written
 
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -88,8 +88,8 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text", keep:
     if exists(spark, f"{cache}/tokenizer={name}"):
         missing = written(spark, content.select("digest").distinct().join(known().select("digest"), "digest", "left_anti"), "token-misses")
         content = content.join(missing, "digest", "left_semi")
-    once = content.mapInArrow(_first_of_each, "digest binary, text string").repartition("digest")
-    once.mapInArrow(run, CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    once = content.mapInArrow(tidy(_first_of_each), "digest binary, text string").repartition("digest")
+    once.mapInArrow(tidy(run), CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
 
     # two runs at a time may both append a text; a table, so that the join can split a text of many rows
     counts = written(spark, known().groupBy("digest").agg(F.max("n_tokens").alias("__n")), "token-counts")

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import range_of, ranges, remove, shuffle_partitions, slices
+from tidewater.llm.common import range_of, ranges, remove, shuffle_partitions, slices, tidy
 
 MANIFEST = "manifest.json"
 DATE = "2000-01-01T00:00:00Z"
@@ -153,7 +153,7 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", ht
         columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["part", "place", "name", "records", "bytes", "sha256"])
 
-    written = _sorted_records(df, key, url, html, least, most, folder).mapInArrow(run, ATTEMPTS)
+    written = _sorted_records(df, key, url, html, least, most, folder).mapInArrow(tidy(run), ATTEMPTS)
     written.write.parquet(f"{folder}/attempts")  # one attempt of each task
     return _commit(spark, folder)
 
@@ -232,7 +232,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], titles)
 
-    return files.mapInArrow(run, READ + ", html string" * payloads)
+    return files.mapInArrow(tidy(run), READ + ", html string" * payloads)
 
 
 #: The pages' records in DuckDB SQL.
